@@ -163,7 +163,7 @@ def find_stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in slices(batches):
             found = [stretches(raw, length, gram) for raw in _bytes(batch)]
             row = np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found])
-            kept = batch.take(pa.array(row))
+            kept = batch.select(["r1", "r2"]).take(pa.array(row))
             key, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), kept.column("r1"), kept.column("r2"), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
@@ -282,7 +282,7 @@ def counted_ranges(cut: DataFrame, length: int) -> DataFrame:
                 prints, n = _prints(raws[a:b], length)
                 who = np.repeat(np.arange(b - a), n)
                 nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                kept = part.take(pa.array(who))
+                kept = part.select(["key", "r1", "r2", "lo"]).take(pa.array(who))
                 yield pa.RecordBatch.from_arrays(
                     [kept.column("key"), pa.array(prints.view(np.int64)), kept.column("r1"), kept.column("r2"), pa.array(nth + kept.column("lo").to_numpy())],
                     ["key", "print", "r1", "r2", "lo"],
