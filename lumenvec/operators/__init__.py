@@ -1,0 +1 @@
+"""Operators over vector tables and the state around them."""

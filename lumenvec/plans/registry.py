@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import attention_queries, state_queries, vector_queries
+
+QUERIES = vector_queries.QUERIES | attention_queries.QUERIES | state_queries.QUERIES
+ORACLES = vector_queries.ORACLES | attention_queries.ORACLES | state_queries.ORACLES

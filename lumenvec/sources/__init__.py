@@ -1,0 +1 @@
+"""Sources over vector tables and the state around them."""

@@ -1,0 +1 @@
+"""Streaming over vector tables and the state around them."""
