@@ -107,11 +107,18 @@ def band(s: int, percent: int) -> tuple[int, int]:
 
 
 @cache
-def blocks(low: int, percent: int) -> int:
-    """Blocks for pairs whose smaller set is in the band from low on: differences + 1."""
+def blocks(low: int, percent: int) -> tuple[int, int]:
+    """(blocks, spare) for pairs whose smaller set is in the band from low on.
+
+    Blocks are the most differences + 1 + spare, so at least spare + 1 blocks are
+    equal.  A set with at most spare empty blocks need not file itself under
+    those: one of the equal blocks is another.
+    """
     high = max(low, 100 * low // percent)
     most = high + 100 * high // percent  # both sizes together
-    return 1 + most * (100 - percent) // (100 + percent)
+    differ = most * (100 - percent) // (100 + percent)
+    spare = 1 + math.ceil(2 * (differ + 1) * math.exp(-low / (differ + 1)))
+    return 1 + differ + spare, spare
 
 
 def list_keys(x: np.ndarray, percent: int) -> np.ndarray:
@@ -124,12 +131,14 @@ def list_keys(x: np.ndarray, percent: int) -> np.ndarray:
         at, low = band(below, percent)
         if fits(below, s, percent):
             bands.append((at, low))
-    out = []
+    out, where, what = [], mix(x), mix(x ^ _A)
     for at, low in bands:
-        m = blocks(low, percent)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, (mix(x) % np.uint64(m)).astype(np.int64), mix(x ^ _A))
-        out.append(mix(sums + mix(np.arange(m, dtype=np.uint64) * _A + np.uint64(at + 1))))
+        m, spare = blocks(low, percent)
+        sums, block = np.zeros(m, np.uint64), (where % np.uint64(m)).astype(np.int64)
+        np.add.at(sums, block, what)
+        keys = mix(sums + mix(np.arange(m, dtype=np.uint64) * _A + np.uint64(at + 1)))
+        filled = np.bincount(block, minlength=m) > 0
+        out.append(keys[filled] if m - filled.sum() <= spare else keys)
     return np.concatenate(out)
 
 
@@ -180,21 +189,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     return source.mapInArrow(run, schema)
 
 
-def light_links(classes: DataFrame) -> DataFrame:
+def light_links(found: DataFrame) -> DataFrame:
     """(a, b): links proved by shared subsets, each member to the least of its key."""
-    keys = classes.where("light is not null").select("rep", F.explode("light").alias("k")).select("rep", "k.*")
+    keys = found.where("light is not null").select(F.col("id").alias("a"), F.explode("light").alias("k")).select("a", "k.*")
     held = keys.groupBy("key").agg(
-        F.min("rep").alias("b"), F.max("rep").alias("z"), F.min("size").alias("least"),
+        F.min("a").alias("b"), F.max("a").alias("z"), F.min("size").alias("least"),
         F.max("size").alias("most"), F.max("same").alias("same"),
     )
     proved = held.where("b != z and (least != most or same)").select("key", "b")
-    return keys.select("key", F.col("rep").alias("a")).join(proved, "key").where("a != b").select("a", "b").distinct()
+    return keys.select("key", "a").join(proved, "key").where("a != b").select("a", "b").distinct()
+
 
+def list_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): each member of an inverted list and the least member of that list.
 
-def list_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each member of an inverted list and the least member of that list."""
-    keys = classes.where("heavy is not null").select(F.col("rep").alias("a"), F.explode("heavy").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z")).where("b != z").select("key", "b")
+    The shared keys are written in between: the shuffle that found them is
+    released before the members are joined to them.
+    """
+    keys = found.where("heavy is not null").select(F.col("id").alias("a"), F.explode("heavy").alias("key"))
+    held = keys.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z"))
+    shared = stored(held.where("b != z").select("key", "b"), "shared-lists")
     return keys.join(shared, "key").where("a != b").select("a", "b").distinct()
 
 
@@ -261,7 +275,8 @@ def scan_lists(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 def heavy_links(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int, percent: int, family_block: int) -> DataFrame:
     """(a, b): a spanning forest of the links within each family; docs as (id, text)."""
     member = families.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), "id")
-    size = families.groupBy("component").agg(F.ceil(F.count("*") / family_block).cast("int").alias("blocks"))
+    member = stored(member, "members")
+    size = member.groupBy("component").agg(F.ceil(F.count("*") / family_block).cast("int").alias("blocks"))
     dealt = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a set goes to the tasks of all pairs of blocks with its own
     pair = F.transform(
@@ -329,24 +344,20 @@ def similar_documents(
 ) -> DataFrame:
     """(id, n_shingles, component_id): the least id that links reach from each document."""
     found = stored(signatures(docs, id_col, text_col, n, percent), "signatures")
-    classes = (
-        found.where("n > 0 and id is not null").groupBy("n", "d1", "d2")
-        .agg(F.min("id").alias("rep"), F.first("light").alias("light"), F.first("heavy").alias("heavy"))
-    )
-    classes = stored(classes, "classes")
-    families = stored(components(list_pairs(classes)), "families")
+    named = found.where("n > 0 and id is not null")
+    classes = stored(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
+    families = stored(components(list_pairs(named)), "families")
     source = pick(docs, id=id_col, text=text_col)
-    links = stored(
-        heavy_links(source, classes.where("heavy is not null"), families, n, percent, family_block).unionByName(light_links(classes)),
-        "links",
-    )
-    reached = components(links)
-    part = classes.select("n", "d1", "d2", "rep").join(reached.withColumnRenamed("id", "rep"), "rep", "left")
-    part = part.select("n", "d1", "d2", F.coalesce("component", "rep").alias("least"))
-    # copies fold back: only rows of classes with a smaller id change
-    return found.select("id", "n", "d1", "d2").join(part, ["n", "d1", "d2"], "left").select(
+    # copies of a class hang in its family; one of them stands for all
+    heavy = heavy_links(source, classes, families, n, percent, family_block)
+    links = stored(heavy.unionByName(light_links(named)), "links")
+    # copies are joined through their class, however they were linked
+    copies = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("id != rep")
+    linked = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    reached = components(linked)
+    return found.select("id", "n").join(reached, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
