@@ -165,7 +165,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     """The documents without their removed spans, all columns kept; rows of one id lose the same spans."""
     gone = spans.select(F.col(f"`{id_col}`").alias("__id"), F.col("spans").alias("__gone"))
     joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left").drop("__id")
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
@@ -175,8 +175,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
                     edges = [0, *(x for s in gone for x in (s["start"], s["end"])), len(text)]
                     text = "".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 texts.append(text)
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return joined.mapInArrow(run, docs.schema)
