@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,16 +35,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, release: bool = True) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts the lineage.
 
-    The driver's garbage is collected then, which lets Spark remove the shuffle
-    files of the finished step instead of keeping those of all steps.
+    With release, the driver's garbage is collected then, which lets Spark remove
+    the shuffle files of the finished step instead of keeping those of all steps;
+    twice, as the listeners let go of a finished query only after a moment.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2 * release):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

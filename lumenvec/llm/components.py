@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.where("a is not null and b is not null and a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    now = stored(ordered.distinct(), "edges")
+    now = stored(ordered.distinct(), "edges", release=False)
     while True:
         # done once no least node of a star hangs on another star
         heads = now.select(F.col("b").alias("a")).distinct()
@@ -41,4 +41,4 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges", release=False)
