@@ -40,8 +40,8 @@ LENGTH = 400
 GRAM = 32
 HOT_ROWS = 20_000
 #: Windows after which a family is emptied at the next minimiser.
-FAMILY_WINDOWS = 1_000_000
-_PIECE = 1 << 20
+FAMILY_WINDOWS = 300_000
+_PIECE = 1 << 19
 _MIX = np.uint64(0x94D049BB133111EB)
 
 
