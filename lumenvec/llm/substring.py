@@ -118,7 +118,8 @@ def repeated_units(
     # null ids rank last: the flag comes before the id
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "start")
     seen = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    several = seen.where("n > 1").select("d1", "d2", "first")
+    # written first: a join right after the aggregate could not be split where a digest is hot
+    several = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated")
     return (
         found.join(several, ["d1", "d2"])
         .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))))
