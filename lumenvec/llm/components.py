@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is two aggregates with map-side minima and two joins; rounds grow
-with the logarithm of the longest path.  Nothing is gathered on the driver but
+Each round is two aggregates with map-side minima and two joins; neither star
+makes more edges than it gets, so equal ones are folded once a round.  Rounds
+grow with the logarithm of the longest path.  Nothing is gathered on the driver but
 a count per round.
 """
 
@@ -25,6 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.withColumnRenamed("m", "b"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node either hangs on one least node or is one; one aggregate with map-side counts."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("least")).unionByName(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("least"))
+    )
+    roles = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("least").alias("least"))
+    return roles.where("hangs > 1 or (hangs > 0 and least > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each node of edges (a, b) the least node it is joined to.
 
@@ -34,11 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     now = stored(ordered.distinct(), "edges", release=False)
-    while True:
-        # done once no least node of a star hangs on another star
-        heads = now.select(F.col("b").alias("a")).distinct()
-        if now.groupBy("a").count().where("count > 1").isEmpty() and now.join(heads, "a", "left_semi").isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            )
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "edges", release=False)
+    while not _stars(now):
+        now = stored(_small_star(_large_star(now)).distinct(), "edges", release=False)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    )

@@ -190,26 +190,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
 
 
 def light_links(found: DataFrame) -> DataFrame:
-    """(a, b): links proved by shared subsets, each member to the least of its key."""
-    keys = found.where("light is not null").select(F.col("id").alias("a"), F.explode("light").alias("k")).select("a", "k.*")
+    """(a, b): links proved by shared subsets, each member to the least of its key.
+
+    Keys that only copies of one set hold prove nothing that its class does not.
+    """
+    keys = found.where("light is not null").select(F.col("id").alias("a"), "d1", F.explode("light").alias("k")).select("a", "d1", "k.*")
     held = keys.groupBy("key").agg(
-        F.min("a").alias("b"), F.max("a").alias("z"), F.min("size").alias("least"),
-        F.max("size").alias("most"), F.max("same").alias("same"),
+        F.min("a").alias("b"), F.min("d1").alias("low"), F.max("d1").alias("high"),
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max("same").alias("same"),
     )
-    proved = held.where("b != z and (least != most or same)").select("key", "b")
+    proved = held.where("low != high and (least != most or same)").select("key", "b")
     return keys.select("key", "a").join(proved, "key").where("a != b").select("a", "b").distinct()
 
 
 def list_pairs(found: DataFrame) -> DataFrame:
     """(a, b): each member of an inverted list and the least member of that list.
 
+    Lists of copies of one set are left out: their class joins them.
     The shared keys are written in between: the shuffle that found them is
     released before the members are joined to them.
     """
-    keys = found.where("heavy is not null").select(F.col("id").alias("a"), F.explode("heavy").alias("key"))
-    held = keys.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("z"))
-    shared = stored(held.where("b != z").select("key", "b"), "shared-lists")
-    return keys.join(shared, "key").where("a != b").select("a", "b").distinct()
+    keys = found.where("heavy is not null").select(F.col("id").alias("a"), "d1", F.explode("heavy").alias("key"))
+    held = keys.groupBy("key").agg(F.min("a").alias("b"), F.min("d1").alias("low"), F.max("d1").alias("high"))
+    shared = stored(held.where("low != high").select("key", "b"), "shared-lists")
+    return keys.select("key", "a").join(shared, "key").where("a != b").select("a", "b")
 
 
 class Forest:
