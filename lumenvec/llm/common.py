@@ -6,6 +6,7 @@ import gc
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,33 @@ def stored(df: DataFrame, name: str, release: bool = True) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a runtime Bloom filter: 4 MB, whatever the size of the tables.
+FILTER_BITS = 1 << 25
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession):
+    """Within it, Spark puts its own Bloom filters before shuffle joins of large rows.
+
+    The filter has FILTER_BITS bits whatever it is built from.  With more rows it
+    lets more through, which costs shuffled bytes but never changes a result.
+    Only plans that run inside are affected; the settings are put back after.
+    """
+    at = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {
+        f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "0", f"{at}creationSideThreshold": str(1 << 50),
+        f"{at}numBits": str(FILTER_BITS), f"{at}expectedNumItems": str(FILTER_BITS >> 3),
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import pick, runtime_filters, slices, stored
 from .components import components
 
 N_WORDS = 3
@@ -287,8 +287,9 @@ def heavy_links(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
     )
-    place = dealt.select("id", "d1", "d2", "component", pair.alias("pairs"))
-    texts = docs.join(place, "id")
+    place = stored(dealt.select("id", "d1", "d2", "component", "blocks", pair.alias("pairs")), "places")
+    # the comparison, always true, tells Spark that a Bloom filter of these few ids pays on the texts
+    texts = docs.join(place.where("blocks >= 1").drop("blocks"), "id")
 
     def sets(batches):
         for batch in slices(batches):
@@ -354,7 +355,8 @@ def similar_documents(
     source = pick(docs, id=id_col, text=text_col)
     # copies of a class hang in its family; one of them stands for all
     heavy = heavy_links(source, classes, families, n, percent, family_block)
-    links = stored(heavy.unionByName(light_links(named)), "links")
+    with runtime_filters(docs.sparkSession):
+        links = stored(heavy.unionByName(light_links(named)), "links")
     # copies are joined through their class, however they were linked
     copies = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("id != rep")
     linked = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
