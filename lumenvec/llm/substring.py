@@ -1,19 +1,21 @@
 """Substring dedup by unit hashing: repeated lines and passages, earliest kept.
 
-Units are lines (or paragraphs) of ``min_words`` words at least and, since a
-passage may be copied into the middle of a line, spans of ``span_words`` words
-that begin at content-defined places: of ``window`` neighbouring starting
-places the one with the least hash of its first two words begins a span.  Two
-texts that share a run of span_words + window - 1 words (50) share a span, and
-texts that share fewer than span_words (25) in a row share none.
+Units are all lines (or paragraphs) that hold a word (``min_words`` raises that)
+and, since a passage may be copied into the middle of a line, spans of
+``span_words`` words that begin at content-defined places: of ``window``
+neighbouring starting places the one with the least hash of its first two words
+begins a span.  Two texts that share a run of span_words + window - 1 words (48)
+share a span, and texts that share fewer than span_words (25) in a row share
+none but equal lines.  Neighbouring spans begin ``window`` words apart at most,
+one less than a span has, so they leave no hole between them.
 
 Units are normalised (lower case, white space collapsed and trimmed) and
 digested to 128 bits.  Digests meet globally with the rank (id, start) of their
 earliest occurrence, folded on the map side first; every other occurrence is
 removed, as spans of the original text (code points, end exclusive).
 
-Edge cases: null and empty texts have no units; blank and shorter units are
-never removed; a unit repeated within one document keeps its first place; a
+Edge cases: null and empty texts have no units; blank units are never
+removed; a unit repeated within one document keeps its first place; a
 null id ranks last; rows that repeat an id and a text repeat its places, and
 those count as one occurrence; only the id and text columns are read.
 """
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, pick, slices, stored
 
-MIN_WORDS = 8
+MIN_WORDS = 1
 SPAN_WORDS = 25
-WINDOW = 26
+WINDOW = 24
 _SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 _WORD = re.compile(r"\S+")
 _LINE_SEED, _SPAN_SEED = 1, 2

@@ -196,6 +196,22 @@ def test_substring_dedup(spark):
     assert left[3] == "\nnew" and left[4] == texts[4]
 
 
+def test_substring_short_lines(spark):
+    texts = ["}\nall rights reserved.\n\n", "one\nAll  rights reserved.\n \n", "two\n}\n}"]
+    removed = substring.removed_spans(substring.repeated_units(docs(spark, texts)))
+    left = {r.doc_id: r.text for r in substring.remove_spans(docs(spark, texts), removed).collect()}
+    assert left == {0: texts[0], 1: "one\n\n \n", 2: "two\n\n"}
+
+
+def test_substring_spans_leave_no_holes(spark):
+    rng = random.Random(11)
+    for _ in range(20):
+        text = words(rng, 600)
+        found = sorted((a, b) for a, b, *_ in substring.cut(text)[1:])  # the first is the line
+        assert all(a < end for (_, end), (a, _) in zip(found, found[1:], strict=False))
+        assert len(text[: found[0][0]].split()) <= 23 and len(text[found[-1][1] :].split()) <= 23
+
+
 def test_empty_table(spark, corpus):
     none = docs(spark, corpus).limit(0)
     assert pii.pii_digest(pii.find_pii(none)).count() == 0
