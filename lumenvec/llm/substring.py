@@ -10,14 +10,15 @@ none but equal lines.  Neighbouring spans begin ``window`` words apart at most,
 one less than a span has, so they leave no hole between them.
 
 Units are normalised (lower case, white space collapsed and trimmed) and
-digested to 128 bits.  Digests meet globally with the rank (id, start) of their
-earliest occurrence, folded on the map side first; every other occurrence is
+digested to 128 bits.  Digests meet globally with the rank (id, row, start) of
+their earliest occurrence, where row is a hash of the text, folded on the map side first; every other occurrence is
 removed, as spans of the original text (code points, end exclusive).
 
 Edge cases: null and empty texts have no units; blank units are never
 removed; a unit repeated within one document keeps its first place; a
-null id ranks last; rows that repeat an id and a text repeat its places, and
-those count as one occurrence; only the id and text columns are read.
+null id ranks last; rows of one id, or without one, are told apart by their
+texts; rows that repeat an id and a text repeat its places, and those count as
+one occurrence; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, pick, slices, stored
@@ -84,22 +85,28 @@ def cut(
     return out
 
 
+def row_key(text) -> Column:
+    """With the id it tells rows apart; text is a column or its name."""
+    return F.xxhash64(F.lit(3), text)
+
+
 def units(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    """(id, start, end, d1, d2) of each unit."""
+    """(id, row, start, end, d1, d2) of each unit."""
 
     def rows(cols):
-        keys, found = [], []
-        for key, text in zip(cols["id"], cols["text"], strict=True):
+        keys, row, found = [], [], []
+        for key, r, text in zip(cols["id"], cols["row"], cols["text"], strict=True):
             own = cut(text, **how)
             found += own
             keys += [key] * len(own)
+            row += [r] * len(own)
         start, end, d1, d2 = zip(*found, strict=True) if found else ((), (), (), ())
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return {"id": keys, "start": start, "end": end, "d1": signed(d1), "d2": signed(d2)}
+        return {"id": keys, "row": row, "start": start, "end": end, "d1": signed(d1), "d2": signed(d2)}
 
-    source = pick(docs, id=id_col, text=text_col)
+    source = pick(docs, id=id_col, text=text_col).select("id", row_key("text").alias("row"), "text")
     kind = source.schema["id"].dataType.simpleString()
-    return arrow_map(source, rows, f"id {kind}, start bigint, end bigint, d1 bigint, d2 bigint")
+    return arrow_map(source, rows, f"id {kind}, row bigint, start bigint, end bigint, d1 bigint, d2 bigint")
 
 
 def repeated_units(
@@ -111,35 +118,36 @@ def repeated_units(
     span_words: int = SPAN_WORDS,
     window: int = WINDOW,
 ) -> DataFrame:
-    """A row per removed unit: (id, start, end, kept_id, kept_start).
+    """A row per removed unit: (id, row, start, end, kept_id, kept_start).
 
     Offsets are those of the original text; kept_* is the earliest occurrence.
     """
     how = {"unit": unit, "min_words": min_words, "span_words": span_words, "window": window}
     found = stored(units(docs, id_col, text_col, **how), "units")
     # null ids rank last: the flag comes before the id
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "start")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     seen = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     # written first: a join right after the aggregate could not be split where a digest is hot
     several = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))
     return (
         found.join(several, ["d1", "d2"])
-        .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start"))))
+        .where(~(own & (F.col("start") == F.col("first.start"))))
         .select(
-            F.col("id").alias(id_col), "start", "end",
+            F.col("id").alias(id_col), "row", "start", "end",
             F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"),
         )
     )
 
 
 def removed_spans(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Removed units merged by document: (id, n_units, n_chars, spans, kept_ids).
+    """Removed units merged by document: (id, row, n_units, n_chars, spans, kept_ids).
 
     spans: array of (start, end), disjoint and in order; kept_ids: the
     documents that keep what is removed here, at most one per unit.
     """
     source = removed.withColumnRenamed(id_col, "id")
-    own = source.groupBy("id").agg(
+    own = source.groupBy("id", "row").agg(
         F.count("*").alias("n_units"),
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("units"),
         F.sort_array(F.collect_set("kept_id")).alias("kept_ids"),
@@ -158,16 +166,17 @@ def removed_spans(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     merged.append([u["start"], u["end"]])
             spans.append([{"start": a, "end": b} for a, b in merged])
         chars = [sum(s["end"] - s["start"] for s in x) for x in spans]
-        return {"id": cols["id"], "n_units": cols["n_units"], "n_chars": chars, "spans": spans, "kept_ids": cols["kept_ids"]}
+        return {"id": cols["id"], "row": cols["row"], "n_units": cols["n_units"], "n_chars": chars, "spans": spans, "kept_ids": cols["kept_ids"]}
 
-    schema = f"id {kind}, n_units bigint, n_chars bigint, spans array<struct<start:bigint,end:bigint>>, kept_ids {kept}"
+    schema = f"id {kind}, row bigint, n_units bigint, n_chars bigint, spans array<struct<start:bigint,end:bigint>>, kept_ids {kept}"
     return arrow_map(own, rows, schema).withColumnRenamed("id", id_col)
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without their removed spans, all columns kept; rows of one id lose the same spans."""
-    gone = spans.select(F.col(f"`{id_col}`").alias("__id"), F.col("spans").alias("__gone"))
-    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left").drop("__id")
+    """The documents without their removed spans, all columns kept; each row loses its own spans."""
+    gone = spans.select(F.col(f"`{id_col}`").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__gone"))
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (row_key(docs[f"`{text_col}`"]) == F.col("__row"))
+    joined = docs.join(gone, same, "left").drop("__id", "__row")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches):

@@ -212,6 +212,17 @@ def test_substring_spans_leave_no_holes(spark):
         assert len(text[: found[0][0]].split()) <= 23 and len(text[found[-1][1] :].split()) <= 23
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_substring_rows_without_an_id_of_their_own(spark, key):
+    shared = "a line that two texts begin with"
+    texts = [shared + "\none", shared + "\ntwo", "other text\nthat repeats nothing at all", "pad\n" + shared]
+    d = docs(spark, texts, [key] * 4)
+    removed = substring.removed_spans(substring.repeated_units(d))
+    left = sorted(r.text for r in substring.remove_spans(d, removed).collect())
+    assert sum(t.count(shared) for t in left) == 1 and texts[2] in left
+    assert sorted(t.replace(shared, "") for t in left) == sorted(t.replace(shared, "") for t in texts)
+
+
 def test_empty_table(spark, corpus):
     none = docs(spark, corpus).limit(0)
     assert pii.pii_digest(pii.find_pii(none)).count() == 0
