@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm, context adjusts the score.
 
 Base kinds are email, ip, card and phone; every base span is reported whatever
-its score.  Beyond them the method adds ``iban`` (mod-97) and ``short_card``
-(13 to 15 digits, Luhn, kept only near a payment word).
+its score.  Beyond them the method adds ``iban`` (mod-97, tried at each border
+of a group) and ``short_card`` (13 to 15 digits, Luhn, kept only near a payment
+word).
 
 All patterns run in time linear in the text: runs of digits or word characters
 are taken possessively and an address is found from its ``@`` outwards, so a
@@ -29,7 +30,19 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    part[:2]: int(part[2:])
+    for part in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 "
+        "FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+        "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+        "SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SEPARATORS = str.maketrans("", "", " -")
 
@@ -63,6 +76,27 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def _ibans(text: str):
+    """Of the ends at a border of a group that pass mod-97, that of the country's length, else the last.
+
+    The search goes on behind an IBAN, and one character on where none begins.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        rest = _IBAN_REST.match(text, m.end())
+        passed = {}
+        for end in range(rest.end() if rest else 0, m.end(), -1):
+            if text[end - 1] == " " or text[end : end + 1] in _ALNUM:
+                continue
+            compact = text[start:end].replace(" ", "")
+            if len(compact) >= 15 and mod97(compact):
+                passed[len(compact)] = end
+        if passed:
+            at = passed.get(_IBAN_LENGTHS.get(text[start : start + 2]), max(passed.values()))
+            yield start, at
+
+
 def _emails(text: str):
     done, at = 0, text.find("@")
     while at >= 0:
@@ -106,7 +140,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     for m in _PHONE.finditer(text):
         if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             found.append(("phone", *m.span()))
-    found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    found += [("iban", *span) for span in _ibans(text)]
     out = []
     for kind, a, b in found + short:
         score = round(min(1.0, _START[kind] + _RAISE * _near(text, kind, a, b)), 2)

@@ -55,6 +55,17 @@ def test_pii_matches_plain_patterns():
     assert any(s[0] == "iban" for s in pii.spans("GB82 WEST 1234 5698 7654 32"))
 
 
+def test_iban_before_other_words():
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"]
+    for iban in ibans:
+        for tail in ("", " BIC COBADEFFXXX", " EUR 500", " X", " 12 34 56 78 90 12 34 56", ", or not", " " + ibans[0], " A" * 40):
+            text = "IBAN " + iban + tail
+            got = [text[a:b] for k, a, b, _ in pii.spans(text) if k == "iban"]
+            assert got == [iban] + ([ibans[0]] if tail.endswith(ibans[0]) else [])
+    assert not [s for s in pii.spans("DE88 3704 0044 0532 0130 00 BIC") if s[0] == "iban"]
+    assert not [s for s in pii.spans("DE89 3704 0044 0532 0130 00x") if s[0] == "iban"]
+
+
 def test_media_round_trip(spark, corpus):
     d = docs(spark, corpus)
     items = media.parse_sequences(media.document_html(d), "doc_id").where("kind = 'image'")
