@@ -63,7 +63,8 @@ class WordEncoder:
     The vocabulary's pre-tokenizer never joins across white space, so a text's
     ids are those of its words in order.  Words of plain letters, digits and
     signs are cut by the vocabulary's own pattern and each part goes straight
-    to its BPE model; other words go through the whole tokenizer.
+    to its BPE model; other words go through the whole tokenizer, and so do
+    texts that hold the literal of an added token, which has an id of its own.
     """
 
     _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
@@ -77,7 +78,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         # byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -91,15 +92,22 @@ class WordEncoder:
             part = "".join([self.alphabet[b] for b in part.encode()])
         return struct.pack(f"<{len(t := self.model.tokenize(part))}I", *[x.id for x in t])
 
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
         if self._PLAIN.fullmatch(word):
             return b"".join([self.parts[p] for p in self._PARTS.findall(word.lower())])
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._whole(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids = self.words
-        return [b"".join([ids[w] for w in t.replace("\n", " ").split(" ")]) for t in texts]
+        return [
+            self._whole(t) if any(a in t for a in self.added)
+            else b"".join([ids[w] for w in t.replace("\n", " ").split(" ")])
+            for t in texts
+        ]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -150,6 +150,15 @@ def test_packing(spark, corpus):
     assert len(by) <= -(-sum(r.length for r in out) // 64) * 1.1 + 1
 
 
+def test_packing_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(packing.word_bpe_path())
+    texts = ["a<|endoftext|>b", "x\n<|startoftext|> y  <|endoftext|><|endoftext|>.", "<|EndOfText|> <|endof text|>", "plain\ttext é", ""]
+    for text, ids in zip(texts, packing.encoder(packing.word_bpe_path()).encode(texts), strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == fresh.encode(text, add_special_tokens=False).ids
+
+
 def test_quality(spark):
     rng = random.Random(2)
     texts = [words(rng, 60) if i % 3 else "".join(w + "%%% " for w in words(rng, 60).split()) for i in range(90)] + [None, ""]
