@@ -11,7 +11,8 @@ and target_uri are pushed down.  The header of a record is inflated first; if a
 pushed predicate rejects it, or payloads are not asked for, the reader seeks to
 the next member: each member carries its compressed length in an ``sl`` extra
 field of the gzip header, so a rejected payload is neither read nor inflated.
-Archives of other writers have no such field and are inflated to the end.
+Archives of other writers have no such field and are inflated to the end.  The
+payload is the whole block of a record of any type but revisit, which has none.
 
 Edge cases: a null payload is an empty one; a null id is left out of the header
 and read as null; records may repeat; an empty table gives an empty archive.
@@ -255,18 +256,20 @@ class WarcReader(DataSourceReader):
                     h = member.head()
                     number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
                     digest = h.get("warc-payload-digest")
+                    # a revisit's block is not its payload
+                    length = None if h.get("warc-type") == "revisit" else number("content-length")
                     row = {
                         "page_id": number("warc-x-page-id"),
                         "target_uri": h.get("warc-target-uri"),
                         "record_type": h.get("warc-type"),
                         "refers_to": number("warc-x-refers-to-page-id"),
-                        "payload_bytes": number("warc-x-payload-length"),
+                        "payload_bytes": number("warc-x-payload-length") if "warc-x-payload-length" in h else length,
                         "payload_digest": digest.rpartition(":")[2] if digest else None,
                         "payload": None,
                     }
                     if self.wanted(row):
-                        if self.payload and row["record_type"] == "response":
-                            row["payload"] = member.payload(int(h["content-length"]))
+                        if self.payload and length is not None:
+                            row["payload"] = member.payload(length)
                         yield tuple(row.values())
                     at = member.next()
 

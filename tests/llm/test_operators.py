@@ -1,5 +1,6 @@
 """The corpus operators against brute-force versions, and their edge cases."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -129,6 +130,19 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    blocks = {"warcinfo": b"software: x", "request": b"GET / HTTP/1.1", "response": b"HTTP/1.1 200 OK\r\n\r\nabc", "metadata": b"a: b", "resource": b"\x00\xff" * 90_000, "conversion": "ü".encode() * 1000, "revisit": b"HTTP/1.1 304"}
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        for kind, block in blocks.items():
+            f.write(gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"))
+    blocks["revisit"] = None
+    got = {r.record_type: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert {k: r.payload and bytes(r.payload) for k, r in got.items()} == blocks
+    assert {k: r.payload_bytes for k, r in got.items()} == {k: b and len(b) for k, b in blocks.items()}
+    bare = warc.read_archive(spark, str(tmp_path), payload=False).where("record_type = 'conversion'").collect()
+    assert [(r.payload, r.payload_bytes) for r in bare] == [(None, 2000)]
+
+
 def test_packing(spark, corpus):
     path = packing.word_bpe_path()
     out = packing.pack(docs(spark, corpus), path, capacity=64, keep_ids=True).collect()
