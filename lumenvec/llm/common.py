@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,62 +21,104 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none (tests on one machine) a folder under /tmp is set.
+    Where a session has none, a folder under /tmp is set for a master on this
+    one machine; on a cluster that would lose rows, so it is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file:///tmp/checkpoints/lumenvec"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: The folder of the innermost open ``scratch_scope``.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def stored(df: DataFrame, name: str, release: bool = True) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage.
 
-    With release, the driver's garbage is collected then, which lets Spark remove
-    the shuffle files of the finished step instead of keeping those of all steps;
-    twice, as the listeners let go of a finished query only after a moment.
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Everything that operators write while it is open goes when it closes.
+
+    A result that was not written inside cannot be read afterwards.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    for _ in range(2 * release):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = fresh_path(spark, "scope")
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(spark, path)
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings for the plans that run inside; put back after."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Scratch:
+    """The tables that an operator writes on its way, in the shared folder.
+
+    A written table cuts the lineage: what reads it survives lost executors
+    without the steps before.  Spark removes the shuffle files of a step once
+    its table is written, and ``drop`` removes a table that later ones replace.
+    What the operator's result still reads stays, for a scratch_scope to remove.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, fresh_path(spark, name)
+
+    def store(self, step: str, df: DataFrame) -> DataFrame:
+        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+            df.write.parquet(f"{self.path}/{step}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{step}")
+
+    def drop(self, *steps: str) -> None:
+        for step in steps:
+            remove(self.spark, f"{self.path}/{step}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A single scratch table."""
+    return Scratch(df.sparkSession, name).store("table", df)
 
 
 #: Bits of a runtime Bloom filter: 4 MB, whatever the size of the tables.
 FILTER_BITS = 1 << 25
 
 
-@contextmanager
 def runtime_filters(spark: SparkSession):
     """Within it, Spark puts its own Bloom filters before shuffle joins of large rows.
 
     The filter has FILTER_BITS bits whatever it is built from.  With more rows it
     lets more through, which costs shuffled bytes but never changes a result.
-    Only plans that run inside are affected; the settings are put back after.
     """
     at = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {
+    return settings(spark, {
         f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "0", f"{at}creationSideThreshold": str(1 << 50),
         f"{at}numBits": str(FILTER_BITS), f"{at}expectedNumItems": str(FILTER_BITS >> 3),
-    }
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    })
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

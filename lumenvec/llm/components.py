@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -43,9 +43,12 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.where("a is not null and b is not null and a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    now = stored(ordered.distinct(), "edges", release=False)
+    work, k = Scratch(edges.sparkSession, "components"), 0
+    now = work.store("0", ordered.distinct())
     while not _stars(now):
-        now = stored(_small_star(_large_star(now)).distinct(), "edges", release=False)
+        now = work.store(str(k + 1), _small_star(_large_star(now)).distinct())
+        work.drop(str(k))
+        k += 1
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

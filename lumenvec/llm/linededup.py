@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import Scratch, pick
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -107,7 +107,7 @@ def exact_lines(keys: DataFrame) -> DataFrame:
     classes = keys.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     several = classes.where("n > 1").select("h1", "h2", "first")
     return (
-        keys.select("id", "line", "h1", "h2").join(several, ["h1", "h2"])
+        keys.select("id", "line", "h1", "h2").join(several.hint("merge"), ["h1", "h2"])
         .where(place != F.col("first")).select("id", "line", "first")
     )
 
@@ -116,13 +116,13 @@ def open_lines(keys: DataFrame) -> DataFrame:
     """(id, line, open): which of its halves a line shares with a different line."""
     flat = keys.where("halves is not null").select("id", "line", "h1", F.posexplode("halves").alias("half", "key"))
     shared = flat.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    return flat.join(shared, "key").groupBy("id", "line").agg(F.collect_set("half").alias("open"))
+    return flat.join(shared.hint("merge"), "key").groupBy("id", "line").agg(F.collect_set("half").alias("open"))
 
 
 def near_lines(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """(id, line, norm, n, open) of the opened lines; docs as (id, text)."""
     by_doc = opened.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("line", "open"))).alias("lines"))
-    cut = exploded(docs.join(by_doc, "id"))
+    cut = exploded(docs.join(by_doc.hint("merge"), "id"))
     own = cut.select("id", "line", "norm", F.col("lines")[F.col("line")].alias("open"))
     return own.where("open is not null").withColumn("n", _n_words(F.col("norm"))).distinct()
 
@@ -165,7 +165,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def near_pairs(near: DataFrame) -> DataFrame:
+def near_pairs(near: DataFrame, work: Scratch) -> DataFrame:
     """(id, line, first): lines within one edit of an earlier one, verified on the words."""
     place = F.struct("id", "line")
     emitted = variants(near)
@@ -177,15 +177,15 @@ def near_pairs(near: DataFrame) -> DataFrame:
     best = best.where("s != last or (a is not null and b is not null)").drop("last")
     witness = F.when(role == "s", F.col("s")).when(role == "a", F.col("b")).otherwise(F.col("a"))
     pairs = (
-        emitted.join(best, ["key", "check"])
+        emitted.join(best.hint("merge"), ["key", "check"])
         .select("id", "line", witness.alias("first")).where(F.col("first") < place)
         .groupBy("id", "line").agg(F.min("first").alias("first"))
     )
-    pairs = stored(pairs, "line-pairs")
+    pairs = work.store("pairs", pairs)
     words = near.select("id", "line", F.split("norm", " ").alias("w"))
     other = words.select(F.col("id").alias("o_id"), F.col("line").alias("o_line"), F.col("w").alias("o_w"))
-    met = pairs.join(words, ["id", "line"]).join(
-        other, (F.col("first.id") == F.col("o_id")) & (F.col("first.line") == F.col("o_line"))
+    met = pairs.join(words.hint("merge"), ["id", "line"]).join(
+        other.hint("merge"), (F.col("first.id") == F.col("o_id")) & (F.col("first.line") == F.col("o_line"))
     )
     return met.where(within_one_edit(F.col("w"), F.col("o_w"))).select("id", "line", "first")
 
@@ -199,11 +199,15 @@ def removed_lines(
 ) -> DataFrame:
     """A row per removed line: (id, line, kind, kept_id, kept_line); kind is exact or near."""
     source = pick(docs, id=id_col, text=text_col).where("id is not null and text is not null")
-    keys = stored(line_keys(lines_of(source, min_words), near_words), "line-keys")
-    exact = stored(exact_lines(keys), "exact-lines")
-    opened = open_lines(keys).join(exact, ["id", "line"], "left_anti")
-    near = stored(near_lines(source, opened), "near-lines")
-    both = exact.withColumn("kind", F.lit("exact")).unionByName(near_pairs(near).withColumn("kind", F.lit("near")))
+    work = Scratch(docs.sparkSession, "lines")
+    keys = work.store("keys", line_keys(lines_of(source, min_words), near_words))
+    exact = work.store("exact", exact_lines(keys))
+    opened = open_lines(keys).join(exact.select("id", "line").hint("merge"), ["id", "line"], "left_anti")
+    near = work.store("near", near_lines(source, opened))
+    work.drop("keys")
+    verified = work.store("verified", near_pairs(near, work).withColumn("kind", F.lit("near")))
+    work.drop("near", "pairs")
+    both = exact.withColumn("kind", F.lit("exact")).unionByName(verified)
     return both.distinct().select(
         F.col("id").alias(id_col), "line", "kind",
         F.col("first.id").alias("kept_id"), F.col("first.line").alias("kept_line"),
@@ -224,7 +228,8 @@ def drop_lines(
     """
     gone = removed_lines(docs, id_col, text_col, min_words, near_words)
     by_doc = gone.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    joined = docs.join(stored(by_doc, "gone-lines"), docs[f"`{id_col}`"] == F.col("__id"), "left")
+    by_doc = Scratch(docs.sparkSession, "gone-lines").store("by-doc", by_doc)
+    joined = docs.join(by_doc.hint("merge"), docs[f"`{id_col}`"] == F.col("__id"), "left")
     text = F.col(f"`{text_col}`")
     kept = F.array_join(
         F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"

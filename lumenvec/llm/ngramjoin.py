@@ -12,8 +12,8 @@ then joins everything it holds to its least member: no pairs are formed.
 Heavy sets use inverted lists.  Lists of single shingles would be as long as
 the corpus is large, so a list's key is a block of shingles: with at most D
 differences allowed, D + 1 hash-dealt blocks leave one block equal.  A set is
-filed under its blocks, members of a list hang together in a candidate family,
-and within a family the exact overlaps are counted by scanning the inverted
+filed under its blocks, members of a list form a chain and so hang together in
+a candidate family, and within a family the exact overlaps are counted by scanning the inverted
 lists of the rarest shingles that a linked set has to share.  Families beyond
 ``family_block`` sets are scanned as pairs of blocks, so no task holds more
 than two blocks; only the links of a spanning forest leave a task.
@@ -24,7 +24,8 @@ checks would.
 Edge cases: null, empty and wordless texts have the empty set and link with
 nothing; texts of fewer words than n are one shingle; repeated rows give a row
 each; a null id is its own component; rows that repeat an id with another text
-are told apart by their sets, and share the component of the id.
+are told apart by their sets, and share the component of the id; ids are of
+any type that sorts.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, runtime_filters, slices, stored
+from .common import Scratch, pick, runtime_filters, slices
 from .components import components
 
 N_WORDS = 3
@@ -173,10 +175,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
             for text in batch.column("text").to_pylist():
                 x = shingle_set(text, n)
                 s = len(x)
-                sums = [mix(x ^ c).sum(dtype=np.uint64) for c in (_A, _C)]
+                d1, d2 = _digests(x)
                 rows["n"].append(s)
-                rows["d1"].append(int(sums[0].astype(np.int64)) if s else 0)
-                rows["d2"].append(int(sums[1].astype(np.int64)) if s else 0)
+                rows["d1"].append(d1)
+                rows["d2"].append(d2)
                 enumerate_ = s and 100 * s // percent >= 1 and -(-percent * s // 100) < boundary(percent)
                 rows["light"].append([dict(zip(("key", "size", "same"), k, strict=True)) for k in subset_keys(x, percent)] if enumerate_ else None)
                 rows["heavy"].append(list_keys(x, percent).view(np.int64) if s >= boundary(percent) else None)
@@ -200,20 +202,46 @@ def light_links(found: DataFrame) -> DataFrame:
         F.min("size").alias("least"), F.max("size").alias("most"), F.max("same").alias("same"),
     )
     proved = held.where("low != high and (least != most or same)").select("key", "b")
-    return keys.select("key", "a").join(proved, "key").where("a != b").select("a", "b").distinct()
+    return keys.select("key", "a").join(proved.hint("merge"), "key").where("a != b").select("a", "b").distinct()
 
 
-def list_pairs(found: DataFrame) -> DataFrame:
-    """(a, b): each member of an inverted list and the least member of that list.
+def list_chains(found: DataFrame) -> DataFrame:
+    """(key, a, b): the members of each inverted list as a chain, one shuffle.
 
-    Lists of copies of one set are left out: their class joins them.
-    The shared keys are written in between: the shuffle that found them is
-    released before the members are joined to them.
+    The lists lie in ranges of (key, member), so a list that many sets share
+    spreads over as many tasks as it needs.  Within a task each member is
+    joined to the one before it.  The ends of a task's lists come with a null b
+    and their key: a list may go on in the next task.
     """
-    keys = found.where("heavy is not null").select(F.col("id").alias("a"), "d1", F.explode("heavy").alias("key"))
-    held = keys.groupBy("key").agg(F.min("a").alias("b"), F.min("d1").alias("low"), F.max("d1").alias("high"))
-    shared = stored(held.where("low != high").select("key", "b"), "shared-lists")
-    return keys.select("key", "a").join(shared, "key").where("a != b").select("a", "b")
+    keys = found.where("heavy is not null").select(F.explode("heavy").alias("key"), F.col("id").alias("a"))
+    dealt = keys.repartitionByRange("key", "a").sortWithinPartitions("key", "a")
+
+    def run(batches):
+        last = None  # the last (key, member) of the batch before
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, a = batch.column("key"), batch.column("a")
+            if last is None:
+                yield pa.RecordBatch.from_arrays([key.slice(0, 1), a.slice(0, 1), pa.nulls(1, a.type)], ["key", "a", "b"])
+                last = key.slice(0, 1), a.slice(0, 1)
+            keys, members = pa.concat_arrays([last[0], key]), pa.concat_arrays([last[1], a])
+            joined = pc.and_(pc.equal(keys[1:], keys[:-1]), pc.not_equal(members[1:], members[:-1]))
+            yield pa.RecordBatch.from_arrays([key, a, members[:-1]], ["key", "a", "b"]).filter(joined)
+            last = key.slice(n - 1), a.slice(n - 1)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*last, pa.nulls(1, last[1].type)], ["key", "a", "b"])
+
+    kind = found.schema["id"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"key bigint, a {kind}, b {kind}")
+
+
+def list_pairs(chains: DataFrame) -> DataFrame:
+    """(a, b): the chains' members with those before them, and lists that go on in other tasks tied together."""
+    ends = chains.where("b is null").select("key", "a")  # two rows a task
+    tied = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")).hint("merge"), "key").select("a", "b")
+    return chains.where("b is not null").select("a", "b").unionByName(tied)
 
 
 class Forest:
@@ -276,63 +304,64 @@ def scan_lists(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def heavy_links(docs: DataFrame, classes: DataFrame, families: DataFrame, n: int, percent: int, family_block: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each family; docs as (id, text)."""
-    member = families.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), "id")
-    member = stored(member, "members")
-    size = member.groupBy("component").agg(F.ceil(F.count("*") / family_block).cast("int").alias("blocks"))
-    dealt = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a set goes to the tasks of all pairs of blocks with its own
+def places(classes: DataFrame, families: DataFrame, family_block: int) -> DataFrame:
+    """(id, d1, d2, component, blocks, pairs): the tasks that have to see each set.
+
+    Families of one set need none.  A set goes to the tasks of all pairs of
+    blocks with its own.
+    """
+    member = families.join(classes.select(F.col("rep").alias("id"), "d1", "d2").hint("merge"), "id")
+    size = member.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    size = size.select("component", F.ceil(F.col("n") / family_block).cast("int").alias("blocks"))
+    dealt = member.join(size.hint("merge"), "component").withColumn("block", F.pmod(F.xxhash64("id", "d1"), F.col("blocks")).cast("int"))
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
     )
-    place = stored(dealt.select("id", "d1", "d2", "component", "blocks", pair.alias("pairs")), "places")
-    # the comparison, always true, tells Spark that a Bloom filter of these few ids pays on the texts
-    texts = docs.join(place.where("blocks >= 1").drop("blocks"), "id")
+    return dealt.select("id", "d1", "d2", "component", "blocks", pair.alias("pairs"))
 
-    def sets(batches):
-        for batch in slices(batches):
-            rows, out = [], {"d1": batch.column("d1").to_pylist(), "d2": batch.column("d2").to_pylist()}
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                x = shingle_set(text, n)
-                sums = [int(mix(x ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in (_A, _C)]
-                if sums == [out["d1"][i], out["d2"][i]]:  # another text may share the id
-                    rows.append((i, x.view(np.int64)))
-            kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column("component"), kept.column("pairs"), kept.column("id"), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
-                ["component", "pairs", "id", "x"],
-            )
 
-    kind = texts.schema["id"].dataType.simpleString()
-    schema = f"component {kind}, pairs array<struct<i:int,j:int>>, id {kind}, x array<bigint>"
-    filed = texts.mapInArrow(sets, schema).select("component", F.explode("pairs").alias("p"), "id", "x")
-    filed = filed.select("component", "p.i", "p.j", "id", "x").repartition("component", "i", "j")
-    filed = filed.sortWithinPartitions("component", "i", "j", "id")
-    id_type = pa.int64() if kind == "bigint" else None
+def _digests(x: np.ndarray) -> list[int]:
+    """128 bits that stand for a set."""
+    return [int(mix(x ^ c).sum(dtype=np.uint64).astype(np.int64)) for c in (_A, _C)]
+
+
+def heavy_links(docs: DataFrame, place: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each family; docs as (id, text).
+
+    Texts travel, not their sets: a set's hashes take more room and do not compress.
+    """
+    # the comparison, always true, tells Spark that a Bloom filter of these few ids pays on the texts
+    texts = docs.join(place.where("blocks >= 1").drop("blocks").hint("merge"), "id")
+    filed = texts.select("component", F.explode("pairs").alias("p"), "id", "d1", "d2", "text")
+    filed = filed.select("component", "p.i", "p.j", "id", "d1", "d2", "text").repartition("component", "i", "j")
+    filed = filed.sortWithinPartitions("component", "i", "j", "id", "d1", "d2")
+    kind = filed.schema["id"].dataType.simpleString()
 
     def scan(batches):
-        key, ids, own = None, [], []
+        key, ids, own, id_type = None, [], [], None
+        last = None
 
         def links():
             found = scan_lists(own, percent)
             a, b = ([ids[x[k]] for x in found] for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], ["a", "b"])
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")), strict=True))
-            x = batch.column("x")
-            values, offsets = x.flatten().to_numpy().view(np.uint64), x.offsets.to_numpy()
-            offsets = offsets - offsets[0] if len(offsets) else offsets
-            for r, name in enumerate(batch.column("id").to_pylist()):
-                if keys[r] != key:
+        for batch in slices(batches):
+            id_type = batch.schema.field("id").type
+            columns = [batch.column(c).to_pylist() for c in ("component", "i", "j", "id", "d1", "d2", "text")]
+            for *at, name, d1, d2, text in zip(*columns, strict=True):
+                if at != key:
                     if len(own) > 1:
                         yield links()
-                    key, ids, own = keys[r], [], []
-                if not ids or ids[-1] != name:
+                    key, ids, own, last = at, [], [], None
+                if (name, d1, d2) == last:  # the row repeats
+                    continue
+                x = shingle_set(text, n)
+                if _digests(x) == [d1, d2]:  # another text may share the id
                     ids.append(name)
-                    own.append(values[offsets[r] : offsets[r + 1]].copy())
+                    own.append(x)
+                    last = (name, d1, d2)
         if len(own) > 1:
             yield links()
 
@@ -348,20 +377,27 @@ def similar_documents(
     family_block: int = FAMILY_BLOCK,
 ) -> DataFrame:
     """(id, n_shingles, component_id): the least id that links reach from each document."""
-    found = stored(signatures(docs, id_col, text_col, n, percent), "signatures")
+    work = Scratch(docs.sparkSession, "ngrams")
+    found = work.store("signatures", signatures(docs, id_col, text_col, n, percent))
     named = found.where("n > 0 and id is not null")
-    classes = stored(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    families = stored(components(list_pairs(named)), "families")
-    source = pick(docs, id=id_col, text=text_col)
+    classes = work.store("classes", named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
+    chains = work.store("chains", list_chains(named))
+    light = work.store("light", light_links(named))
+    sizes = work.store("sizes", found.select("id", "n", "d1", "d2"))
+    work.drop("signatures")
+    families = work.store("families", components(list_pairs(chains)))
+    work.drop("chains")
+    place = work.store("places", places(classes, families, family_block))
+    work.drop("families")
     # copies of a class hang in its family; one of them stands for all
-    heavy = heavy_links(source, classes, families, n, percent, family_block)
     with runtime_filters(docs.sparkSession):
-        links = stored(heavy.unionByName(light_links(named)), "links")
+        heavy = work.store("heavy", heavy_links(pick(docs, id=id_col, text=text_col), place, n, percent))
     # copies are joined through their class, however they were linked
-    copies = named.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("id != rep")
-    linked = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    copies = sizes.where("n > 0 and id is not null").join(classes.hint("merge"), ["n", "d1", "d2"]).where("id != rep")
+    linked = heavy.unionByName(light).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     reached = components(linked)
-    return found.select("id", "n").join(reached, "id", "left").select(
+    work.drop("classes", "places", "heavy", "light")
+    return sizes.select("id", "n").join(reached.hint("merge"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
     )
@@ -376,4 +412,5 @@ def keep_one(
     """
     found = similar_documents(docs, id_col, text_col, n, percent)
     gone = found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("__id"))
-    return docs.join(stored(gone.distinct(), "gone"), docs[f"`{id_col}`"] == F.col("__id"), "left_anti")
+    gone = Scratch(docs.sparkSession, "gone").store("ids", gone.distinct())
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"] == F.col("__id"), "left_anti")

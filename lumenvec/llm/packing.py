@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import Scratch, pick, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -132,7 +132,6 @@ def tokenize_pieces(
     source = pick(docs, id=id_col, text=text_col)
     id_type = source.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    arrow_id = pa.int64() if id_type == "bigint" else None
     end = np.asarray([end_id], "<u4").tobytes()
     if keep_ids:
         schema += ", ids binary"
@@ -140,20 +139,19 @@ def tokenize_pieces(
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in slices(batches):
-            keys = batch.column("id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, ids in enumerate(enc.encode(texts)):
                 ids += end
                 for k, b in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[b : b + 4 * capacity]
-                    at.append(keys[i])
+                    at.append(i)
                     piece.append(k)
                     start.append(b // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     kept.append(part)
-            arrays = [pa.array(at, arrow_id), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            arrays = [batch.column("id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             if keep_ids:
                 arrays.append(pa.array(kept, pa.binary()))
             names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
@@ -284,7 +282,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: (id, piece, start, length, ids_crc32, [ids,] sequence_id, offset)."""
     pieces = tokenize_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, keep_ids)
-    pieces = stored(pieces.withColumnRenamed(id_col, "id"), "pieces")
+    pieces = Scratch(docs.sparkSession, "packing").store("pieces", pieces.withColumnRenamed(id_col, "id"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     return place(ranked(pieces), plan(counts, capacity)).withColumnRenamed("id", id_col)
 

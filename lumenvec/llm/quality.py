@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, slices, stored
+from .common import Scratch, arrow_map, pick, slices
 
 FEATURES = (
     "log_chars", "log_words", "word_mean", "word_sd", "upper", "digit", "symbol", "stop",
@@ -235,7 +235,7 @@ def classify(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of every document."""
-    vectors = stored(features(docs, id_col, text_col), "quality")
+    vectors = Scratch(docs.sparkSession, "quality").store("vectors", features(docs, id_col, text_col))
     model = fit(vectors, labels, id_col, label_col)
     return score(vectors, model).select(
         F.col("id").alias(id_col),
@@ -253,7 +253,7 @@ def keep_good(
     The texts are scored where they are read; only ids and vectors of labelled
     rows meet, for the fit.
     """
-    vectors = stored(features(docs, id_col, text_col), "quality")
+    vectors = Scratch(docs.sparkSession, "quality").store("vectors", features(docs, id_col, text_col))
     model = fit(vectors, labels, id_col)
     d, at = len(FEATURES), docs.columns.index(text_col)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, slices, stored
+from .common import Scratch, arrow_map, pick, slices
 
 MIN_WORDS = 1
 SPAN_WORDS = 25
@@ -123,12 +123,13 @@ def repeated_units(
     Offsets are those of the original text; kept_* is the earliest occurrence.
     """
     how = {"unit": unit, "min_words": min_words, "span_words": span_words, "window": window}
-    found = stored(units(docs, id_col, text_col, **how), "units")
+    work = Scratch(docs.sparkSession, "units")
+    found = work.store("units", units(docs, id_col, text_col, **how))
     # null ids rank last: the flag comes before the id
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     seen = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     # written first: a join right after the aggregate could not be split where a digest is hot
-    several = stored(seen.where("n > 1").select("d1", "d2", "first"), "repeated")
+    several = work.store("repeated", seen.where("n > 1").select("d1", "d2", "first"))
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row"))
     return (
         found.join(several, ["d1", "d2"])
