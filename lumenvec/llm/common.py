@@ -99,11 +99,6 @@ class Scratch:
             remove(self.spark, f"{self.path}/{step}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """A single scratch table."""
-    return Scratch(df.sparkSession, name).store("table", df)
-
-
 #: Bits of a runtime Bloom filter: 4 MB, whatever the size of the tables.
 FILTER_BITS = 1 << 25
 

@@ -1,28 +1,34 @@
-"""Exact substring dedup with a logarithmic family of suffix indexes.
+"""Exact substring dedup with a logarithmic family of suffix arrays.
 
 A byte goes if a ``length``-byte string that covers it also starts anywhere
 else in the corpus.  Sorting every suffix of a corpus in one place cannot
-scale, so the suffixes are dealt first: each window of ``length`` bytes belongs
-to its minimiser, the least hash of the ``gram``-byte grams inside it.  Equal
-windows have equal minimisers at equal places, so neighbouring windows with one
-minimiser travel together as one stretch of bytes, to the shard of that hash.
-Stretches whose minimiser occurs once cannot repeat and are dropped before any
-text moves.
-
-Within a shard the index family works as its name says: each arriving batch
-gets a suffix array (its windows in the order of their fingerprints), is
-merge-scanned against the existing levels, marking both sides of each match,
-and becomes a level; levels of about equal size merge, so their number stays
-logarithmic.  Fingerprints are 64 bits beside the 64 bits of the minimiser.
-Shards are sorted by minimiser and the family is emptied between minimisers
-once it is large, so a task holds a bounded number of windows; a minimiser with
-more than ``hot_rows`` stretches does not go to one task at all: its windows
-are counted as rows by fingerprint, folded on the map side.
+scale, so the suffixes are dealt first: each window of ``report_length`` bytes
+belongs to its minimiser, the least hash of the ``gram``-byte grams inside it.
+Equal windows have equal minimisers at equal places, so neighbouring windows
+with one minimiser form a stretch, and equal windows meet under its hash.
+
+1. Every text yields its stretches: minimiser, digest of the content, place.
+   Content is what the stretch's windows and the ``length``-byte strings that
+   begin with them cover.  Content that a text repeats itself counts as found.
+2. Minimisers that occur once cannot repeat and go.  Stretches of equal content
+   (128 bits: minimiser and digest) are repeated as a whole and fold into one.
+3. Only the contents that share a minimiser with a different content move as
+   bytes, one copy each, to the index of that minimiser.
+
+The index is a family of suffix arrays.  Each arriving batch gets a suffix
+array (prefix doubling on its bytes), is merge-scanned against the existing
+levels for matches of the whole length, marking both sides, and becomes a
+level; a level that is no more than twice the next one merges with it, so
+levels grow geometrically.  Matches are matches of bytes, not of hashes.  A
+family ends with its minimiser, so a task holds a bounded number of bytes; a
+minimiser with more than ``hot_contents`` different contents does not go to one
+task: its windows are counted as rows by two 64-bit fingerprints beside the
+minimiser, folded on the map side.
 
 Edge cases: null and empty texts lose nothing and have the digest of the empty
 string; rows are told apart by id and text, so repeated rows are removed as
-copies of each other and a null id is an id like others; only the id and text
-columns are read.
+copies of each other and a null id is an id like others; periodic text folds
+within its document; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -31,20 +37,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import Scratch, pick, slices
 
 LENGTH = 400
+#: Shorter repeats are not removed, only counted (``n_repeated``).
+REPORT_LENGTH = 216
 GRAM = 32
-HOT_ROWS = 20_000
-#: Windows after which a family is emptied at the next minimiser.
-FAMILY_WINDOWS = 300_000
-_PIECE = 1 << 19
+HOT_CONTENTS = 4_000
+#: Bytes that get one suffix array, about; positions have to fit in 20 bits.
+BATCH_BYTES = 1 << 18
 _MIX = np.uint64(0x94D049BB133111EB)
 
-
 class Rolling:
     """Hashes of all substrings of one length: polynomials modulo 2**64 over random byte values."""
 
@@ -78,7 +85,7 @@ class Rolling:
         return h ^ (h >> np.uint64(29))
 
 
-GRAMS, WINDOWS = Rolling(1), Rolling(2)
+GRAMS, WINDOWS = Rolling(1), (Rolling(2), Rolling(3))
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -92,7 +99,7 @@ def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return f(left[: n - w + 1], right[w - 1 : n])
 
 
-def stretches(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(raw: bytes, length: int = REPORT_LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser hash, first start, last start) of the runs of windows with one minimiser."""
     g = GRAMS.hashes(np.frombuffer(raw, np.uint8), gram)
     w = length - gram + 1
@@ -111,36 +118,124 @@ def stretches(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     return least[first], first, np.concatenate([first[1:] - 1, [len(least) - 1]])
 
 
-class SuffixFamily:
-    """Levels of sorted window fingerprints with marks for those that occur elsewhere too."""
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks of keys of at most 64 - bits bits, by one sort of (key, position)."""
+    n = len(key)
+    packed = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    place = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    packed >>= np.uint64(bits)
+    out = np.empty(n, np.uint64)
+    out[place] = np.concatenate([[0], np.cumsum(packed[1:] != packed[:-1])]).astype(np.uint64)
+    return out
+
+
+class SuffixRanks:
+    """Ranks of the suffixes of a text by their first bytes, by prefix doubling.
+
+    After ``deepen`` to d, suffixes compare by their first d bytes; what reaches
+    beyond the text compares as if zero bytes followed.
+    """
+
+    FIRST = 5  # bytes that fit beside a position
+
+    def __init__(self, text: np.ndarray):
+        self.bits = max(1, len(text) - 1).bit_length()
+        if self.bits > 20:
+            raise ValueError("a batch has too many bytes")
+        padded = np.concatenate([text, np.zeros(self.FIRST, np.uint8)]).astype(np.uint64)
+        key = np.zeros(len(text), np.uint64)
+        for k in range(self.FIRST):
+            key = key << np.uint64(8) | padded[k : k + len(text)]
+        self.depth, self.rank = self.FIRST, _ranks(key, self.bits)
+
+    def _paired(self, step: int) -> np.ndarray:
+        """The rank and the rank ``step`` on, in one number."""
+        then = np.zeros(len(self.rank), np.uint64)
+        then[: max(0, len(then) - step)] = self.rank[step:] + np.uint64(1)
+        return self.rank << np.uint64(self.bits + 1) | then
+
+    def deepen(self, depth: int) -> None:
+        while self.depth < depth:
+            step = min(self.depth, depth - self.depth)
+            key = self._paired(step)
+            if 3 * self.bits + 1 > 64:
+                raise ValueError("a batch has too many bytes")
+            self.rank, self.depth = _ranks(key, self.bits), self.depth + step
+
+
+def _less(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings of ``depth`` bytes from i in a and from j in b: whether the first is less, and whether they are equal."""
+    less, same = np.empty(len(i), bool), np.empty(len(i), bool)
+    span = np.arange(depth)
+    for at in range(0, len(i), 8192):
+        part = slice(at, at + 8192)
+        x, y = a[i[part, None] + span], b[j[part, None] + span]
+        differ = x != y
+        first = differ.argmax(1)
+        row = np.arange(len(first))
+        less[part] = x[row, first] < y[row, first]
+        same[part] = ~differ[row, first]
+    return less, same
+
+
+class Level:
+    """A suffix array over a text: window starts in the order of their first ``depth`` bytes.
+
+    number tells the windows of a family apart; mark says which occur elsewhere too.
+    """
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, number: np.ndarray, mark: np.ndarray):
+        self.text, self.order, self.number, self.mark = text, order, number, mark
+
+    def find(self, other: Level, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per suffix of the other: how many of this level are less, and whether the next one is equal."""
+        lo, hi = np.zeros(len(other.order), np.int64), np.full(len(other.order), len(self.order))
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            less, _ = _less(self.text, self.order[mid], other.text, other.order[open_], depth)
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+        equal = np.zeros(len(lo), bool)
+        inside = np.flatnonzero(lo < len(self.order))
+        equal[inside] = _less(self.text, self.order[lo[inside]], other.text, other.order[inside], depth)[1]
+        return lo, equal
 
-    def __init__(self):
-        self.levels: list[list[np.ndarray]] = []  # fingerprints, numbers, marks
-        self.size = 0
 
-    def add(self, prints: np.ndarray) -> None:
-        order = np.argsort(prints, kind="stable")
-        own, number = prints[order], order + self.size
-        mark = np.zeros(len(own), bool)
-        same = own[1:] == own[:-1]
+class SuffixFamily:
+    """Levels of suffix arrays with marks for the windows that occur elsewhere too."""
+
+    def __init__(self, depth: int):
+        self.depth, self.size = depth, 0
+        self.levels: list[Level] = []
+
+    def add(self, text: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> None:
+        """Another batch: windows that begin at ``starts``, ranked by their first ``depth`` bytes."""
+        if not len(starts):
+            return
+        by_rank = np.argsort(rank[starts], kind="stable")
+        order = starts[by_rank]
+        mark = np.zeros(len(order), bool)
+        same = rank[order[1:]] == rank[order[:-1]]
         mark[1:] |= same
         mark[:-1] |= same
-        for prints_, _, mark_ in self.levels:
-            at = np.minimum(np.searchsorted(prints_, own), len(prints_) - 1)
-            hit = prints_[at] == own
-            mark |= hit
-            mark_[at[hit]] = True  # further equal ones in a level are marked already
-        self.levels.append([own, number, mark])
-        self.size += len(own)
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            merged = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
-            order = np.argsort(merged[0], kind="stable")  # two sorted runs: a merge
-            self.levels[-2:] = [[x[order] for x in merged]]
+        own = Level(text, order, by_rank + self.size, mark)
+        self.size += len(order)
+        for level in self.levels:
+            at, hit = level.find(own, self.depth)
+            own.mark |= hit
+            level.mark[at[hit]] = True  # further equal ones in a level are marked already
+        self.levels.append(own)
+        while len(self.levels) > 1 and len(self.levels[-2].order) < 2 * len(self.levels[-1].order):
+            new, old = self.levels.pop(), self.levels.pop()
+            at, _ = old.find(new, self.depth)
+            merged = np.argsort(np.concatenate([np.arange(len(old.order)) * 2 + 1, at * 2]), kind="stable")
+            both = [np.concatenate(x)[merged] for x in ((old.order, new.order + len(old.text)), (old.number, new.number), (old.mark, new.mark))]
+            self.levels.append(Level(np.concatenate([old.text, new.text]), *both))
 
     def marks(self) -> np.ndarray:
         out = np.zeros(self.size, bool)
-        for _, number, mark in self.levels:
-            out[number] = mark
+        for level in self.levels:
+            out[level.number] = level.mark
         return out
 
 
@@ -156,168 +251,227 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
 
 
-def find_stretches(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, r1, r2, lo, hi) of every stretch of each row."""
+_STRETCH = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("n", pa.int32())])
+
+
+def text_stretches(raw: bytes, length: int, report_length: int, gram: int) -> list[np.ndarray]:
+    """[minimiser, content digest, first start, last start, n] of a text's stretches.
+
+    n is 1, or 2 for the first of equal ones within the text; rows of n = 0 are
+    ranges of starts that the others of equal ones cover.
+    """
+    key, lo, hi = stretches(raw, report_length, gram)
+    digest = xxhash.xxh3_64_intdigest
+    content = np.fromiter((digest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(key))
+    n = np.ones(len(key), np.int32)
+    if len(key) > 1:
+        by = np.lexsort((lo, content, key))
+        again = (key[by][1:] == key[by][:-1]) & (content[by][1:] == content[by][:-1])
+        if again.any():
+            repeats = np.concatenate([[False], again])
+            n[by[np.flatnonzero(again)]] = 2
+            gone = np.sort(by[repeats])
+            cut = np.flatnonzero(lo[gone][1:] > hi[gone][:-1] + 1) + 1
+            first, last = lo[gone][np.concatenate([[0], cut])], hi[gone][np.concatenate([cut, [len(gone)]]) - 1]
+            n[gone] = -1
+            keep, zero = n > 0, np.zeros(len(first), np.uint64)
+            return [np.concatenate(x) for x in ((key[keep], zero), (content[keep], zero), (lo[keep], first), (hi[keep], last), (n[keep], np.zeros(len(first), np.int32)))]
+    return [key, content, lo, hi, n]
+
+
+def find_stretches(rows: DataFrame, length: int, report_length: int, gram: int) -> DataFrame:
+    """(key, content, r1, r2, lo, hi, n) of every stretch of each row; see text_stretches."""
 
     def run(batches):
         for batch in slices(batches):
-            found = [stretches(raw, length, gram) for raw in _bytes(batch)]
+            found = [text_stretches(raw, length, report_length, gram) for raw in _bytes(batch)]
             row = np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found])
             kept = batch.select(["r1", "r2"]).take(pa.array(row))
-            key, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), kept.column("r1"), kept.column("r2"), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                ["key", "r1", "r2", "lo", "hi"],
-            )
+            key, content, lo, hi, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [key.view(np.int64), content.view(np.int64), kept.column("r1"), kept.column("r2"), lo.astype(np.int32), hi.astype(np.int32), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_STRETCH)
 
-    return rows.select("text", "r1", "r2").mapInArrow(run, "key bigint, r1 bigint, r2 bigint, lo int, hi int")
+    return rows.select("text", "r1", "r2").mapInArrow(run, "key bigint, content bigint, r1 bigint, r2 bigint, lo int, hi int, n int")
 
 
-def cut_stretches(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(key, hot, r1, r2, lo, raw): the bytes of the stretches whose minimiser is shared."""
-    by_row = shared.groupBy("r1", "r2").agg(F.collect_set(F.struct("key", "lo", "hi", "hot")).alias("places"))
-    joined = rows.select("text", "r1", "r2").join(by_row, ["r1", "r2"])
+_CONTENT = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("single", pa.bool_()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("raw", pa.binary())])
+
+
+def cut_contents(rows: DataFrame, contents: DataFrame, length: int) -> DataFrame:
+    """(key, hot, single, r1, r2, lo, hi, raw): the bytes of contents, from the rows that hold them."""
+    place = F.struct("key", "hot", "single", "lo", "hi")
+    by_row = contents.groupBy("r1", "r2").agg(F.collect_set(place).alias("places"))
+    joined = rows.select("text", "r1", "r2").join(by_row.hint("merge"), ["r1", "r2"])
 
     def run(batches):
         for batch in slices(batches):
-            out = {k: [] for k in ("key", "hot", "r1", "r2", "lo", "raw")}
-            r1, r2 = batch.column("r1").to_pylist(), batch.column("r2").to_pylist()
-            for i, (raw, places) in enumerate(zip(_bytes(batch), batch.column("places").to_pylist(), strict=True)):
-                for p in places:
-                    for k, v in zip(out, (p["key"], p["hot"], r1[i], r2[i], p["lo"], raw[p["lo"] : p["hi"] + length]), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("raw", pa.binary())]))
-
-    return joined.mapInArrow(run, "key bigint, hot boolean, r1 bigint, r2 bigint, lo int, raw binary")
-
-
-def _prints(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all windows of some stretches, and how many each has."""
-    raw = np.frombuffer(b"".join(raws), np.uint8)
-    sizes = np.array([len(x) for x in raws])
-    counts = sizes - length + 1
-    all_ = WINDOWS.hashes(raw, length)
-    begin = np.cumsum(sizes) - sizes
-    inside = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    return all_[inside], counts
-
-
-def _pieces(raws: list[bytes]):
-    """Runs of stretches of about _PIECE bytes: (first, end)."""
+            places = batch.column("places")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            flat, raws = places.flatten(), _bytes(batch)
+            own = {k: flat.field(k) for k in ("key", "hot", "single", "lo", "hi")}
+            cuts = zip(row.tolist(), own["lo"].to_pylist(), own["hi"].to_pylist(), strict=True)
+            own["raw"] = pa.array([raws[i][a : b + length] for i, a, b in cuts], pa.binary())
+            own |= {c: batch.column(c).take(pa.array(row)) for c in ("r1", "r2")}
+            out = pa.RecordBatch.from_arrays([own[c] for c in _CONTENT.names], schema=_CONTENT)
+            yield from slices([out])
+
+    return joined.mapInArrow(run, "key bigint, hot boolean, single boolean, r1 bigint, r2 bigint, lo int, hi int, raw binary")
+
+
+def _batches(keys: np.ndarray, sizes: np.ndarray):
+    """(first, end) of runs of rows of about BATCH_BYTES."""
     first, size = 0, 0
-    for i, x in enumerate(raws):
-        if size and size + len(x) > _PIECE:
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > BATCH_BYTES:
             yield first, i
             first, size = i, 0
-        size += len(x)
-    if first < len(raws):
-        yield first, len(raws)
-
+        size += n
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+class _Shard:
+    """The contents at hand, in families for both lengths, until their minimiser ends."""
+
+    def __init__(self, depths: tuple[int, int]):
+        self.depths = depths  # the shorter first
+        self.families = [SuffixFamily(d) for d in depths]
+        self.held: list[list] = [[], []]  # per family: (r1, r2, start, single) of its windows
+
+    def add(self, raws: list[bytes], r1: np.ndarray, r2: np.ndarray, lo: np.ndarray, hi: np.ndarray, single: np.ndarray) -> None:
+        text = np.frombuffer(b"".join(raws), np.uint8)
+        size = np.array([len(x) for x in raws])
+        begin = np.cumsum(size) - size
+        ranks = SuffixRanks(text)
+        for k, depth in enumerate(self.depths):
+            ranks.deepen(depth)
+            n = np.maximum(0, np.minimum(hi - lo + 1, size - depth + 1))
+            who = np.repeat(np.arange(len(raws)), n)
+            nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            self.families[k].add(text, begin[who] + nth, ranks.rank)
+            self.held[k].append((r1[who], r2[who], lo[who] + nth, single[who]))
+
+    def ranges(self):
+        """Marked runs of starts of the contents that stand for one place: rows of (r1, r2, lo, hi, deep)."""
+        for k, family in enumerate(self.families):
+            if not family.size:
+                continue
+            r1, r2, start, single = (np.concatenate(x) for x in zip(*self.held[k], strict=True))
+            at = np.flatnonzero(family.marks() & single)
+            if not len(at):
+                continue
+            jump = (np.diff(at) != 1) | (np.diff(start[at]) != 1) | (np.diff(r1[at]) != 0) | (np.diff(r2[at]) != 0)
+            cut = np.flatnonzero(jump) + 1
+            a, b = at[np.concatenate([[0], cut])], at[np.concatenate([cut, [len(at)]]) - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r1[a]), pa.array(r2[a]), pa.array(start[a].astype(np.int64)), pa.array(start[b].astype(np.int64)), pa.array(np.full(len(a), k, np.int32))],
+                ["r1", "r2", "lo", "hi", "deep"],
+            )
 
-def _runs(mark: np.ndarray, counts: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, first start, last start) of the marked runs of windows."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + lo[owner]
-    at = np.flatnonzero(mark)
-    if not len(at):
-        return at, at, at
-    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
-    a, b = at[np.concatenate([[0], cut])], at[np.concatenate([cut, [len(at)]]) - 1]
-    return owner[a], start[a], start[b]
 
+_RANGES = "r1 bigint, r2 bigint, lo bigint, hi bigint, deep int"
 
-_RANGES = "r1 bigint, r2 bigint, lo bigint, hi bigint"
 
+def indexed_ranges(cut: DataFrame, length: int, report_length: int) -> DataFrame:
+    """Ranges of window starts that occur elsewhere too, by families of suffix arrays.
 
-def indexed_ranges(cut: DataFrame, length: int, family_windows: int) -> DataFrame:
-    """(r1, r2, lo, hi): ranges of window starts that occur elsewhere too, by suffix families."""
-    dealt = cut.select("key", "r1", "r2", "lo", "raw").repartition("key").sortWithinPartitions("key")
+    deep is 0 for windows of report_length and 1 for those of length.
+    """
+    dealt = cut.drop("hot").repartition("key").sortWithinPartitions("key")
 
     def run(batches):
-        family, held, counts = SuffixFamily(), [], []
-
-        def ranges():
-            r1, r2, lo = (np.concatenate([h[i] for h in held]) for i in range(3))
-            who, first, last = _runs(family.marks(), np.concatenate(counts), lo)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (r1[who], r2[who], first, last)], ["r1", "r2", "lo", "hi"]
-            )
-
-        key = None
+        shard, key = _Shard((report_length, length)), None
         for batch in slices(batches):
-            keys = batch.column("key").to_numpy()
-            columns = [batch.column(c).to_numpy() for c in ("r1", "r2", "lo")]
-            raws = batch.column("raw").to_pylist()
-            for a, b in _pieces(raws):
-                # a full family may be emptied where the minimiser changes
+            keys, r1, r2, lo, hi = (batch.column(c).to_numpy() for c in ("key", "r1", "r2", "lo", "hi"))
+            single, raws = batch.column("single").to_numpy(zero_copy_only=False), batch.column("raw").to_pylist()
+            for a, b in _batches(keys, np.array([len(x) for x in raws])):
+                # rows before the first change go on with the minimiser at hand; those after the last may go on
                 change = np.flatnonzero(np.concatenate([[keys[a] != key], keys[a + 1 : b] != keys[a : b - 1]])) + a
-                if family.size >= family_windows and len(change):
-                    parts = [(a, int(change[0])), (int(change[0]), b)]
-                else:
-                    parts = [(a, b)]
-                for p, q in parts:
-                    if family.size >= family_windows and p in change:
-                        yield ranges()
-                        family, held, counts = SuffixFamily(), [], []
+                cuts = [a, *change[[0, -1]].tolist(), b] if len(change) else [a, b]
+                for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if k:
+                        yield from shard.ranges()
+                        shard = _Shard((report_length, length))
                     if p < q:
-                        prints, n = _prints(raws[p:q], length)
-                        family.add(prints)
-                        held.append([c[p:q] for c in columns])
-                        counts.append(n)
+                        shard.add(raws[p:q], r1[p:q], r2[p:q], lo[p:q], hi[p:q], single[p:q])
                 key = keys[b - 1]
-        if held:
-            yield ranges()
+        yield from shard.ranges()
 
     return dealt.mapInArrow(run, _RANGES)
 
 
-def counted_ranges(cut: DataFrame, length: int) -> DataFrame:
-    """The same for minimisers with very many stretches: windows as rows, counted by fingerprint."""
+def counted_ranges(cut: DataFrame, length: int, report_length: int, work: Scratch) -> DataFrame:
+    """The same for minimisers with very many contents: windows as rows, counted by fingerprints."""
 
     def run(batches):
         for batch in slices(batches):
             raws = batch.column("raw").to_pylist()
-            for a, b in _pieces(raws):
+            for a, b in _batches(batch.column("key").to_numpy(), np.array([len(x) for x in raws])):
                 part = batch.slice(a, b - a)
-                prints, n = _prints(raws[a:b], length)
-                who = np.repeat(np.arange(b - a), n)
-                nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                kept = part.select(["key", "r1", "r2", "lo"]).take(pa.array(who))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column("key"), pa.array(prints.view(np.int64)), kept.column("r1"), kept.column("r2"), pa.array(nth + kept.column("lo").to_numpy())],
-                    ["key", "print", "r1", "r2", "lo"],
-                )
-
-    windows = cut.select("key", "r1", "r2", "lo", "raw").mapInArrow(run, "key bigint, print bigint, r1 bigint, r2 bigint, lo bigint")
-    several = windows.groupBy("key", "print").agg(F.count("*").alias("n")).where("n > 1").select("key", "print")
-    return windows.join(several, ["key", "print"]).select("r1", "r2", "lo", F.col("lo").alias("hi"))
+                raw = np.frombuffer(b"".join(raws[a:b]), np.uint8)
+                size = np.array([len(x) for x in raws[a:b]])
+                begin, lo, hi = np.cumsum(size) - size, part.column("lo").to_numpy(), part.column("hi").to_numpy()
+                for deep, depth in enumerate((report_length, length)):
+                    n = np.maximum(0, np.minimum(hi - lo + 1, size - depth + 1))
+                    who = np.repeat(np.arange(b - a), n)
+                    nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                    prints = [w.hashes(raw, depth)[begin[who] + nth].view(np.int64) for w in WINDOWS]
+                    kept = part.select(["key", "r1", "r2", "single"]).take(pa.array(who))
+                    columns = [kept.column("key"), *(pa.array(p) for p in prints), kept.column("r1"), kept.column("r2"), kept.column("single"), pa.array((lo[who] + nth).astype(np.int64)), pa.array(np.full(len(who), deep, np.int32))]
+                    out = pa.RecordBatch.from_arrays(columns, ["key", "p1", "p2", "r1", "r2", "single", "lo", "deep"])
+                    yield from slices([out])
+
+    windows = cut.drop("hot").mapInArrow(run, "key bigint, p1 bigint, p2 bigint, r1 bigint, r2 bigint, single boolean, lo bigint, deep int")
+    print_ = ["key", "deep", "p1", "p2"]
+    several = work.store("counted", windows.groupBy(*print_).agg(F.count("*").alias("n")).where("n > 1").select(*print_))
+    return windows.where("single").join(several.hint("merge"), print_).select("r1", "r2", "lo", F.col("lo").alias("hi"), "deep")
 
 
 def repeated_ranges(
-    rows: DataFrame, length: int, gram: int, hot_rows: int = HOT_ROWS, family_windows: int = FAMILY_WINDOWS
+    rows: DataFrame, length: int, report_length: int, gram: int, hot_contents: int, work: Scratch
 ) -> DataFrame:
-    """(r1, r2, ranges): per row the ranges (lo, hi) of starts of repeated windows."""
-    found = stored(find_stretches(rows, length, gram), "stretches")
-    keys = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = found.join(keys.select("key", (F.col("n") > hot_rows).alias("hot")), "key")
-    cut = cut_stretches(rows, stored(shared, "shared-stretches"), length)
-    hot = not keys.where(F.col("n") > hot_rows).isEmpty()
-    ranges = indexed_ranges(cut.where("not hot") if hot else cut, length, family_windows)
-    if hot:
-        ranges = ranges.unionByName(counted_ranges(cut.where("hot"), length))
-    return ranges.groupBy("r1", "r2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-
-
-def _keep(raw: bytes, ranges: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the maximal removed spans."""
+    """(r1, r2, lo, hi, deep): ranges of starts of repeated windows of each row.
+
+    deep: 0 for windows of report_length, 1 for those of length, 2 for both
+    (those of length where the text is long enough).
+    """
+    found = work.store("stretches", find_stretches(rows, length, report_length, gram))
+    keys = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("places"), F.min("content").alias("least"), F.max("content").alias("most"))
+    # written first: a join right after the aggregate could not be split where a key is hot
+    keys = work.store("keys", keys.where("places > 1").select("key", (F.col("least") != F.col("most")).alias("open")))
+    sure = found.where("n = 0").select("r1", "r2", "lo", "hi")
+    shared = work.store("shared", found.where("n > 0").join(keys.hint("merge"), "key"))
+    sure = work.store("sure", sure.unionByName(shared.where("not open").select("r1", "r2", "lo", "hi")))
+    work.drop("stretches", "keys")
+    places = ["r1", "r2", "lo", "hi"]
+    contents = shared.where("open").groupBy("key", "content").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in places])
+    contents = work.store("contents", contents)
+    folded = contents.where("n > 1").select("key", "content")
+    again = work.store("again", shared.where("open").join(folded.hint("merge"), ["key", "content"]).select(*places))
+    work.drop("shared")
+    hot = contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot_contents).select("key", F.lit(True).alias("hot"))
+    hot = work.store("hot", hot)
+    marked = contents.join(hot, "key", "left").select("key", F.coalesce("hot", F.lit(False)).alias("hot"), (F.col("n") == 1).alias("single"), *places)
+    cut = work.store("cut", cut_contents(rows, marked, length))
+    work.drop("contents")
+    ranges = indexed_ranges(cut.where("not hot"), length, report_length)
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(counted_ranges(cut.where("hot"), length, report_length, work))
+    both = sure.unionByName(again).select("r1", "r2", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"), F.lit(2).alias("deep"))
+    return ranges.unionByName(both)
+
+
+def _spans(ranges: list[dict], deep: int, length: int, n_bytes: int) -> list[tuple[int, int]]:
+    """The maximal spans that the windows of one length cover."""
     spans: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"] + length) for r in ranges or ()):
+    for lo, hi in sorted((r["lo"], min(r["hi"] + length, n_bytes)) for r in ranges if r["deep"] in (deep, 2)):
+        if hi - lo < length:
+            continue
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], hi)
         else:
             spans.append([lo, hi])
-    edges = [0, *(x for s in spans for x in s), len(raw)]
-    return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]), [tuple(s) for s in spans]
+    return [tuple(s) for s in spans]
 
 
 def dedup_substrings(
@@ -325,32 +479,44 @@ def dedup_substrings(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = LENGTH,
+    report_length: int = REPORT_LENGTH,
     gram: int = GRAM,
-    hot_rows: int = HOT_ROWS,
-    family_windows: int = FAMILY_WINDOWS,
+    hot_contents: int = HOT_CONTENTS,
     keep_bytes: bool = False,
 ) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept, spans]) of each row."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated[, kept, spans]) of each row.
+
+    n_repeated counts the bytes covered by strings of ``report_length`` bytes
+    that also start elsewhere: what stays because its repeats are too short.
+    """
+    if not gram < report_length <= length:
+        raise ValueError("gram < report_length <= length is asked for")
     rows = _row_ids(docs, id_col, text_col)
-    ranges = stored(repeated_ranges(rows, length, gram, hot_rows, family_windows), "ranges")
+    work = Scratch(docs.sparkSession, "suffixes")
+    ranges = repeated_ranges(rows, length, report_length, gram, hot_contents, work)
+    by_row = work.store("ranges", ranges.groupBy("r1", "r2").agg(F.collect_set(F.struct("lo", "hi", "deep")).alias("ranges")))
+    work.drop("cut", "sure", "again", "hot")
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept", "spans")}
             for raw, found in zip(_bytes(batch), batch.column("ranges").to_pylist(), strict=True):
-                kept, spans = _keep(raw, found, length)
-                row = (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in spans])
+                spans = _spans(found or [], 1, length, len(raw))
+                edges = [0, *(x for s in spans for x in s), len(raw)]
+                kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                covered = sum(b - a for a, b in _spans(found or [], 0, report_length, len(raw)))
+                row = (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), covered, kept, [{"start": a, "end": b} for a, b in spans])
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+            types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_repeated": pa.int64()}
             if keep_bytes:
                 types |= {"kept": pa.binary(), "spans": span}
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(out[k], t) for k, t in types.items())], ["id", *types])
 
-    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_repeated bigint"
     if keep_bytes:
         schema += ", kept binary, spans array<struct<start:bigint,end:bigint>>"
-    joined = rows.join(ranges, ["r1", "r2"], "left").select("id", "text", "ranges")
+    joined = rows.join(by_row.hint("merge"), ["r1", "r2"], "left").select("id", "text", "ranges")
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)

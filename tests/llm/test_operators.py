@@ -202,11 +202,11 @@ def test_ngram_join(spark, corpus, n, percent, block):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_rows": 1}, {"family_windows": 10}])
+@pytest.mark.parametrize("how", [{}, {"hot_contents": 1}, {"report_length": 60}])
 def test_suffix_dedup(spark, corpus, how):
     length, raws = 60, [(t or "").encode() for t in corpus]
     seen = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
-    got = {r.doc_id: r for r in suffixdedup.dedup_substrings(docs(spark, corpus), length=length, gram=12, **how).collect()}
+    got = {r.doc_id: r for r in suffixdedup.dedup_substrings(docs(spark, corpus), **{"length": length, "report_length": 40, "gram": 12} | how).collect()}
     for n, r in enumerate(raws):
         gone = set()
         for i in range(len(r) - length + 1):
