@@ -109,10 +109,7 @@ def gc_collect(spark, sf_dir):
 def agent_replay(spark, sf_dir):
     """States replayed for the sessions that sit on first children: each once, with its first session."""
     s = states(spark, sf_dir)
-    own = s.where("id % 4 = 1")
-    chain = state.ancestors(s).join(own.select("id"), "id", "left_semi").select(F.col("id").alias("session"), F.col("ancestor").alias("id"), "depth")
-    every = chain.unionByName(own.select(F.col("id").alias("session"), "id", F.lit(0).cast("bigint").alias("depth")))
-    return every.groupBy("id").agg(F.min("session").alias("first_session"), F.max("depth").alias("deepest"))
+    return state.replayed(s, s.where("id % 4 = 1").select("id"))
 
 
 _PARTS = "pg AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 50 AS page FROM lineitem), sz AS (SELECT id, count(*) AS n FROM pg GROUP BY id)"
