@@ -103,32 +103,129 @@ def nearest(block: Column, book: list[list[float]]) -> Column:
     return F.array_min(F.array(*ds))
 
 
-def spiral(n: int, k: int, seed: int = 42) -> list[list[float]]:
-    """A deterministic start codebook: golden-angle circle for k = 2, Fibonacci sphere
-    for k = 3, else Roberts-Kronecker points through the inverse normal; radii by quantile."""
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x > 0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 400):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + term * d or tiny), 1 + term / c or tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * f
+
+
+def beta_inv(q: float, a: float, b: float) -> float:
+    """Inverse of beta_cdf by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beta_cdf(mid, a, b) < q else (low, mid)
+    return (low + high) / 2
+
+
+def beta_shape(dim: int, k: int) -> float:
+    """Second shape of the companded law of a block's squared radius; 1 if the block is the vector."""
+    if not 0 < k <= dim:
+        raise ValueError("a block is 1 to dim long")
+    return 1.0 if k == dim else k / (k + 2) * (dim - k - 2) / 2 + 1
+
+
+def radius_quantile(dim: int, k: int, n: int, total: int) -> float:
+    """Radius of codeword n of 1..total: the middle of its share of the law."""
+    if not 1 <= n <= total:
+        raise ValueError("codewords count from 1")
+    q = (n - 0.5) / total
+    if k == dim:
+        return 1.0
+    if k == 2:
+        return math.sqrt(1 - (1 - q) ** (4 / dim))
+    return math.sqrt(beta_inv(q, k / 2, beta_shape(dim, k)))
+
+
+def directions(k: int, n: int) -> list[list[float]]:
+    """n unit directions: golden angle for k = 2, Fibonacci sphere for 3, else Roberts-Kronecker points."""
     from statistics import NormalDist
 
-    gold = (1 + 5**0.5) / 2
-    out = []
+    turn = 1 - 2 / (1 + 5**0.5)
+    if k == 2:
+        return [[math.cos(PI2 * i * turn), math.sin(PI2 * i * turn)] for i in range(n)]
+    if k == 3:
+        heights = [1 - (2 * i + 1) / n for i in range(n)]
+        flat = [math.sqrt(max(0.0, 1 - z * z)) for z in heights]
+        return [[r * math.cos(PI2 * i * turn), r * math.sin(PI2 * i * turn), z] for i, (r, z) in enumerate(zip(flat, heights, strict=True))]
     root = 1.5
-    for _ in range(60):  # the root of x^(k+1) = x + 1
+    for _ in range(200):  # the root of x^(k+1) = x + 1
         root = (1 + root) ** (1 / (k + 1))
+    out = []
     for i in range(n):
-        if k == 2:
-            d = [math.cos(PI2 * i / gold), math.sin(PI2 * i / gold)]
-        elif k == 3:
-            z = 1 - (2 * i + 1) / n
-            d = [math.sqrt(1 - z * z) * math.cos(PI2 * i / gold), math.sqrt(1 - z * z) * math.sin(PI2 * i / gold), z]
-        else:
-            u = [(0.5 + (i + 1) / root ** (j + 1)) % 1 for j in range(k)]
-            g = [NormalDist().inv_cdf(min(max(x, 1e-9), 1 - 1e-9)) for x in u]
-            s = math.sqrt(sum(x * x for x in g)) or 1.0
-            d = [x / s for x in g]
-        r = math.sqrt(k / 64) * math.sqrt(-math.log(1 - (i + 0.5) / n))
-        out.append([round(r * x, 6) for x in d])
+        u = [math.fmod((i + 0.5) * root ** -(j + 1), 1) for j in range(k)]
+        g = [NormalDist().inv_cdf(min(max(x, 1e-12), 1 - 1e-12)) for x in u]
+        size = math.sqrt(sum(x * x for x in g))
+        out.append([x / size for x in g])
     return out
 
 
+def initial_codebook(dim: int, k: int, n: int) -> list[list[float]]:
+    """Start codebook for blocks of k of unit vectors of dim: radius times direction, to six places."""
+    radii = [radius_quantile(dim, k, i + 1, n) for i in range(n)]
+    return [[round(r * x, 6) for x in d] for r, d in zip(radii, directions(k, n), strict=True)]
+
+
+def spherical_samples(n: int, dim: int, k: int, seed: int, project: bool = False) -> np.ndarray:
+    """Blocks of k of random unit vectors of dim: by the radius law, or by projecting whole vectors."""
+    rng = np.random.default_rng(seed)
+    if project:
+        x = rng.standard_normal((n, dim))
+        return (x / np.linalg.norm(x, axis=1)[:, None])[:, :k]
+    x = rng.standard_normal((n, k))
+    radius = np.sqrt(rng.beta(k / 2, (dim - k) / 2, n)) if k < dim else np.ones(n)
+    return x / np.linalg.norm(x, axis=1)[:, None] * radius[:, None]
+
+
+# Centroids of a standard normal for so many levels.
+GAUSSIAN_CENTROIDS = {
+    4: (-1.510, -0.453, 0.453, 1.510),
+    8: (-2.152, -1.344, -0.756, -0.245, 0.245, 0.756, 1.344, 2.152),
+    16: (-2.637, -2.028, -1.579, -1.212, -0.891, -0.599, -0.327, -0.067, 0.067, 0.327, 0.599, 0.891, 1.212, 1.579, 2.028, 2.637),
+}
+
+
+def gaussian_centroids(levels: int) -> tuple[float, ...]:
+    """The fixed ones, or the middles of equal shares of the normal law."""
+    from statistics import NormalDist
+
+    if levels < 2:
+        raise ValueError("two levels at least")
+    return GAUSSIAN_CENTROIDS.get(levels) or tuple(round(NormalDist().inv_cdf((i + 0.5) / levels), 6) for i in range(levels))
+
+
+def scalar_blocks(x: Column, k: int, levels: int) -> Column:
+    """array of (norm, levels): each block's norm and the nearest centroid of each scaled value; norm 0 gives level 0."""
+    book = gaussian_centroids(levels)
+
+    def level(v: Column) -> Column:
+        gaps = F.array(*[F.struct(F.round(F.abs(v - c), 9).alias("gap"), F.lit(i).alias("i")) for i, c in enumerate(book)])
+        return F.array_min(gaps)["i"]
+
+    def one(block: Column) -> Column:
+        size = F.sqrt(dot(block, block))
+        return F.struct(size.alias("norm"), F.transform(block, lambda v: F.when(size > 1e-10, level(v / size)).otherwise(0)).alias("levels"))
+
+    return F.transform(blocks(x, k), one)
+
+
+def scalar_blocks_decode(coded: Column, levels: int) -> Column:
+    book = F.array(*map(F.lit, gaussian_centroids(levels)))
+    return F.flatten(F.transform(coded, lambda b: F.transform(b["levels"], lambda i: F.get(book, i) * b["norm"])))
+
+
 def bits_for(n: int) -> int:
     return max(1, (n - 1).bit_length())
 

@@ -1,17 +1,11 @@
-"""Binary forms: bit packing, wire blobs with header checks, FNV-1a."""
+"""Bit packing and FNV-1a."""
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-MAGIC = b"TQW1"
-HEAD = struct.Struct("<4sHHIHHI")  # magic, version, flags, dim, bits, projections, payload bytes
-
-
 def pack_bits(values, bits: int) -> bytes:
     """Least significant bit first; the last byte is padded with zeros."""
     v = np.asarray(values, np.uint64)
@@ -30,57 +24,34 @@ def unpack_bits(raw: bytes, bits: int, n: int) -> np.ndarray:
     return (flat[: n * bits].reshape(n, bits).astype(np.int64) << np.arange(bits)).sum(1)
 
 
-def fnv1a(raw: bytes) -> int:
-    h = 0xCBF29CE484222325  # fixed: offset basis and prime of 64-bit FNV-1a
-    for b in raw:
-        h = (h ^ b) * 0x100000001B3 % (1 << 64)
-    return h
-
+# Offset basis and prime of 64-bit FNV-1a.
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
-def to_wire(dim: int, bits: int, radii, angles, signs) -> bytes:
-    body = np.asarray(radii, "<f4").tobytes() + pack_bits(angles, bits) + pack_bits([(s + 1) // 2 for s in signs], 1)
-    head = HEAD.pack(MAGIC, 1, 0, dim, bits, len(signs), len(body))
-    return head + struct.pack("<Q", fnv1a(head + body)) + body
 
-
-def from_wire(raw: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Checks every field; ValueError on any damage."""
-    at = HEAD.size + 8
-    if len(raw) < at:
-        raise ValueError("short header")
-    magic, version, flags, dim, bits, m, size = HEAD.unpack_from(raw)
-    if (magic, version, flags) != (MAGIC, 1, 0) or dim < 2 or dim % 2 or not 1 <= bits <= 16:
-        raise ValueError("bad header")
-    pairs, sizes = dim // 2, [2 * dim, -(-(dim // 2) * bits // 8), -(-m // 8)]
-    if size != sum(sizes) or len(raw) != at + size:
-        raise ValueError("wrong length")
-    if struct.unpack_from("<Q", raw, HEAD.size)[0] != fnv1a(raw[: HEAD.size] + raw[at:]):
-        raise ValueError("damaged")
-    r = np.frombuffer(raw, "<f4", pairs, at)
-    if not np.isfinite(r).all() or (r < 0).any():
-        raise ValueError("bad radius")
-    k = unpack_bits(raw[at + sizes[0] : at + sizes[0] + sizes[1]], bits, pairs)
-    s = unpack_bits(raw[at + sizes[0] + sizes[1] :], 1, m) * 2 - 1
-    return dim, bits, r, k, s
+def fnv1a_rows(rows: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a of each row; all rows take a byte at a time together."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    h = np.full(len(rows), FNV_BASIS, np.uint64)
+    flat = np.frombuffer(b"".join(rows), np.uint8)
+    begin = np.cumsum(sizes) - sizes
+    for i in range(int(sizes.max(initial=0))):
+        open_ = np.flatnonzero(sizes > i)
+        h[open_] = (h[open_] ^ flat[begin[open_] + i]) * np.uint64(FNV_PRIME)
+    return h
 
 
-def wire_column(bits: int):
-    @F.pandas_udf("binary")
-    def encode(radii: pd.Series, angles: pd.Series, signs: pd.Series) -> pd.Series:
-        return pd.Series([to_wire(2 * len(r), bits, r, k, s) for r, k, s in zip(radii, angles, signs, strict=True)])
+def fnv1a(raw: bytes) -> int:
+    return int(fnv1a_rows([raw])[0])
 
-    return encode
 
+def fnv_column():
+    """Of a text's UTF-8, as 16 hex digits."""
 
-def from_wire_column():
-    @F.pandas_udf("struct<radii:array<double>,angles:array<int>,signs:array<int>>")
-    def decode(blob: pd.Series) -> pd.DataFrame:
-        rows = [from_wire(bytes(b)) for b in blob]
-        columns = {"radii": 2, "angles": 3, "signs": 4}
-        kinds = {"radii": "f8", "angles": "i4", "signs": "i4"}
-        return pd.DataFrame({k: [r[i].astype(kinds[k]) for r in rows] for k, i in columns.items()})
+    @F.pandas_udf("string")
+    def digest(text: pd.Series) -> pd.Series:
+        return pd.Series([f"{h:016x}" for h in fnv1a_rows([t.encode() for t in text]).tolist()])
 
-    return decode
+    return digest
 
 
 def packed_column(bits: int):
@@ -97,16 +68,3 @@ def unpacked_column(bits: int, n: int):
         return pd.Series([unpack_bits(bytes(b), bits, n).astype("i4") for b in raw])
 
     return unpack
-
-
-def half_column():
-    """Through f16; out of range or not positive fails."""
-
-    @F.pandas_udf("double")
-    def half(x: pd.Series) -> pd.Series:
-        y = x.to_numpy().astype(np.float16).astype(np.float64)
-        if ((y <= 0) | ~np.isfinite(y)).any():
-            raise ValueError("a norm does not fit f16")
-        return pd.Series(y)
-
-    return half

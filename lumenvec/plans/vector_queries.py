@@ -18,7 +18,7 @@ from ..sources.tables import table, vectors
 from .common import Plans
 
 D, BITS, N_PROJECTIONS, K, OVERSAMPLE = 64, 3, 32, 10, 4
-BOOK = C.spiral(32, 4)
+BOOK = C.initial_codebook(D, 4, 32)
 PROJECTIONS = C.projections(N_PROJECTIONS, D, 42)
 plans = Plans()
 QUERIES, ORACLES = plans.queries, plans.oracles
@@ -405,24 +405,10 @@ def calibration_summary(spark, sf_dir):
     return vectors(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg(size)).alias("mean_norm"), r6(F.max(size)).alias("max_norm"), F.count_if(size > 1.5).alias("outliers"))
 
 
-# ---------------------------------------------------------------- binary round trips: checked in tests
+# ---------------------------------------------------------------- bits
 
 
-@plans.add()
-def wire_roundtrip(spark, sf_dir):
-    t = turbo_coded(spark, sf_dir).select("id", "r", "k", C.signs(F.col("pr")).alias("s"))
-    blob = t.withColumn("blob", pack.wire_column(BITS)("r", "k", "s")).withColumn("back", pack.from_wire_column()("blob"))
-    return blob.select("id", F.octet_length("blob").alias("bytes"), (F.col("k") == F.col("back.angles")).alias("angles"), (F.col("s") == F.col("back.signs")).alias("signs"))
-
-
-@plans.add()
-def fb2_roundtrip(spark, sf_dir):
-    words = assigned(spark, sf_dir).groupBy("id", "nrm").agg(F.array_sort(F.collect_list(F.struct("b", "m.w"))).alias("ws"))
-    coded_ = words.withColumn("raw", pack.packed_column(5)("ws.w")).withColumn("back", pack.unpacked_column(5, D // 4)("raw"))
-    return coded_.select("id", pack.half_column()("nrm").alias("norm"), F.octet_length("raw").alias("bytes"), (F.col("ws.w").cast("array<int>") == F.col("back")).alias("same"))
-
-
-@plans.add()
+@plans.add(f"SELECT vec_id AS id, CAST({D // 2 * BITS // 8} AS INTEGER) AS bytes, true AS same FROM embeddings")
 def bitpack_roundtrip(spark, sf_dir):
     t = coded(spark, sf_dir).withColumn("raw", pack.packed_column(BITS)("k")).withColumn("back", pack.unpacked_column(BITS, D // 2)("raw"))
     return t.select("id", F.octet_length("raw").alias("bytes"), (F.col("k") == F.col("back")).alias("same"))

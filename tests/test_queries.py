@@ -35,9 +35,3 @@ def test_matches_sql(spark, sql, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert plain(map(tuple, frame.select(*columns).collect())) == plain(tuple(r[i] for i in order) for r in found.fetchall())
-
-
-@pytest.mark.parametrize("name", ["wire_roundtrip", "fb2_roundtrip", "bitpack_roundtrip"])
-def test_round_trips(spark, sql, name):
-    for row in registry.QUERIES[name](spark, DATA).collect():
-        assert all(v for v in row.asDict().values() if isinstance(v, bool))
