@@ -127,7 +127,7 @@ def page_violations(blocks: DataFrame, pages: DataFrame, shape: TensorShape, pro
         ("block_ids", (c("least_id") != 0) | (c("most_id") != c("ids") - 1) | (c("ids") != c("blocks"))),
         ("token_outside", (c("token_start") < c("s_token_start")) | (c("token_start") + c("token_count") > c("s_token_start") + c("s_token_count"))),
         ("block_form", c("odd") > 0), ("block_damaged", c("damaged") > 0), ("page_digest", c("s_page_digest") != c("page_digest")),
-    ))
+    ).alias("violations"))
 
 
 def decode_tensor(blocks: DataFrame, shape: TensorShape, fib: wire.FibProfile) -> DataFrame:

@@ -182,3 +182,33 @@ def overlay(base: DataFrame, pool: DataFrame, shells: DataFrame) -> DataFrame:
 def positions(tokens: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """tokens with ``pos``: 0, 1, ... within the keys.  Keys must bound their groups."""
     return tokens.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def calibrate_component(rows: DataFrame, component: str, profile: str, codec_id: str, shape: Shape, tokens_per_blob: int = TOKENS_PER_BLOB) -> DataFrame:
+    """One row: (component, profile, status, raw_bytes, coded_bytes, ratio, layers, exact) of a component under a profile.
+
+    rows as un-nested; convolution and recurrent state takes raw_exact only.
+    """
+    kinds = {"full_attn_k": "key", "full_attn_v": "value"}
+    spark = rows.sparkSession
+    named = (F.lit(component).alias("component"), F.lit(profile).alias("profile"))
+    if component not in kinds:
+        status = "evaluated" if profile == "raw_exact" else "rejected"
+        return spark.range(1).select(*named, F.lit(status).alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in ("raw_bytes", "coded_bytes")], F.lit(0.0).alias("ratio"), F.lit(0).cast("bigint").alias("layers"), F.lit(status == "evaluated").alias("exact"))
+    own = rows.where(F.col("role") == kinds[component]).select("layer", "pos", "head", "x")
+    blobs = encode_blobs(own, ["layer"], codec_id, shape.head_dim, tokens_per_blob)
+    sizes = blobs.agg((F.sum("n_vectors") * 4 * shape.head_dim).alias("raw_bytes"), F.sum("bytes").alias("coded_bytes"), F.count_distinct("layer").alias("layers"))
+    back = decode_blobs(blobs, ["layer"], shape).select("layer", "pos", "head", F.col("x").alias("y"))
+    worst = own.join(back, ["layer", "pos", "head"], "left").agg(F.max(F.coalesce(F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))), F.lit(1.0))).alias("worst"))
+    both = sizes.crossJoin(worst)  # a row each
+    return both.select(*named, F.lit("evaluated").alias("status"), "raw_bytes", "coded_bytes", (F.col("raw_bytes") / F.greatest("coded_bytes", F.lit(1))).alias("ratio"), "layers", (F.col("worst") == 0).alias("exact"))
+
+
+def calibration(rows: DataFrame, threshold: float) -> DataFrame:
+    """(role, vectors, mean_norm, max_norm, outliers, axis) of un-nested rows: keys call for channels, values for tokens."""
+    from ..functions.vec import norm
+
+    size = norm(F.col("x"))
+    return rows.groupBy("role").agg(
+        F.count("*").alias("vectors"), F.avg(size).alias("mean_norm"), F.max(size).alias("max_norm"), F.count_if(size > threshold).alias("outliers"),
+    ).withColumn("axis", F.when(F.col("role") == "key", "per_channel").otherwise("per_token"))

@@ -193,7 +193,7 @@ def sketch_provenance(spark, sf_dir):
     return s.select("id", F.size(F.filter("signs", lambda z: z > 0)).cast("bigint").alias("ones"), r6(vec.norm(F.col("x"))).alias("source_norm"), F.sha2(F.col("id").cast("string"), 256).alias("source_digest"))
 
 
-@plans.add(f"{_TB4} SELECT id, CASE WHEN id % 5 = 1 THEN ['radius'] WHEN id % 5 = 2 THEN ['angle'] WHEN id % 5 = 3 THEN ['sign'] WHEN id % 5 = 4 THEN ['pairs', 'signs'] ELSE CAST([] AS VARCHAR[]) END AS broken FROM pr")
+@plans.add(f"{_TB4} SELECT id, CASE WHEN id % 5 = 1 THEN 'radius' WHEN id % 5 = 2 THEN 'angle' WHEN id % 5 = 3 THEN 'sign' WHEN id % 5 = 4 THEN 'pairs,signs' ELSE '' END AS broken FROM pr")
 def code_rules(spark, sf_dir):
     """Four kinds of damage to codes, found by the rules they break."""
     c = _turbo(spark, sf_dir)[1]
@@ -204,7 +204,7 @@ def code_rules(spark, sf_dir):
         F.when(kind == 2, first("angles", 8)).otherwise(F.col("angles")).alias("angles"),
         F.when(kind == 3, first("signs", 0)).when(kind == 4, F.slice("signs", 1, 3)).otherwise(F.col("signs")).alias("signs"),
     )
-    return hurt.select("id", rules.turbo_code(D, 4, N_PROJECTIONS).alias("broken"))
+    return hurt.select("id", F.array_join(rules.turbo_code(D, 4, N_PROJECTIONS), ",").alias("broken"))
 
 
 # ---------------------------------------------------------------- profiles and codebooks
@@ -257,7 +257,7 @@ def lloyd_refine(spark, sf_dir):
     return n.select(F.lit(len(got.book)).cast("bigint").alias("words"), "samples", F.lit(got.mse <= got.first_mse).alias("never_worse"), F.lit(got.mse < got.first_mse).alias("better"))
 
 
-@plans.add(f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(words AS BIGINT) AS words, {_BITS} AS bits, round(p_size % 8 * 32 / ceil(log2(words)), 6) AS ratio, list_filter([CASE WHEN p_size % 8 < 1 OR p_size % 8 >= 64 THEN 'block' END, CASE WHEN p_size % 8 > 0 AND 64 % (p_size % 8) <> 0 THEN 'divisible' END, CASE WHEN p_size % 3 = 0 THEN 'index_bits' END, CASE WHEN p_size % 7 = 0 THEN 'restarts' END, CASE WHEN p_size % 11 = 0 THEN 'samples' END], lambda r: r IS NOT NULL) AS broken FROM (SELECT *, p_size % 60 + 2 AS words FROM part)")
+@plans.add(f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(words AS BIGINT) AS words, {_BITS} AS bits, round(p_size % 8 * 32 / ceil(log2(words)), 6) AS ratio, array_to_string(list_filter([CASE WHEN p_size % 8 < 1 OR p_size % 8 >= 64 THEN 'block' END, CASE WHEN p_size % 8 > 0 AND 64 % (p_size % 8) <> 0 THEN 'divisible' END, CASE WHEN p_size % 3 = 0 THEN 'index_bits' END, CASE WHEN p_size % 7 = 0 THEN 'restarts' END, CASE WHEN p_size % 11 = 0 THEN 'samples' END], lambda r: r IS NOT NULL), ',') AS broken FROM (SELECT *, p_size % 60 + 2 AS words FROM part)")
 def fib_profiles(spark, sf_dir):
     """Nominal ratios of codebook profiles and the rules that they break."""
     p, size = table(spark, sf_dir, "part"), F.col("p_size")
@@ -267,4 +267,4 @@ def fib_profiles(spark, sf_dir):
         F.col("p_partkey").cast("bigint").alias("id"), F.lit(64).alias("dim"), (size % 8).alias("block"), words.alias("words"), (bits + F.when(size % 3 == 0, 1).otherwise(0)).alias("index_bits"),
         F.lit("f16").alias("norm"), F.when(size % 7 == 0, 0).otherwise(4).alias("restarts"), F.lit(8).alias("iterations"), F.when(size % 11 == 0, words - 1).otherwise(F.lit(2048)).alias("samples"), bits.alias("bits"),
     )
-    return t.select("id", F.col("words").cast("bigint").alias("words"), F.col("bits").cast("bigint").alias("bits"), r6(F.col("block") * 32 / F.col("bits")).alias("ratio"), rules.fib_profile().alias("broken"))
+    return t.select("id", F.col("words").cast("bigint").alias("words"), F.col("bits").cast("bigint").alias("bits"), r6(F.col("block") * 32 / F.col("bits")).alias("ratio"), F.array_join(rules.fib_profile(), ",").alias("broken"))
