@@ -106,14 +106,17 @@ def authorize(rows: DataFrame, status: Column) -> DataFrame:
     return rows.where(fine)
 
 
-def issue_leases(requests: DataFrame, now: int) -> DataFrame:
-    """Leases of requests (principal, namespace, run_id, node_id, attempt, state_id, rights, ttl, epoch, nonce).
+def lease_id(now: int) -> Column:
+    """Id of a lease request issued now: it binds everything that is issued."""
+    fields = ("principal", "namespace", "run_id", "node_id", "attempt", "state_id", "rights", "ttl", "epoch", "nonce")
+    bound = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields], F.lit(now).cast("string"))
+    return F.concat(F.lit(LEASE_PREFIX), F.sha2(bound, 256))
 
-    The id binds everything that is issued; a null ttl never expires.
-    """
-    bound = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("principal", "namespace", "run_id", "node_id", "attempt", "state_id", "rights", "ttl", "epoch", "nonce")], F.lit(now))
+
+def issue_leases(requests: DataFrame, now: int) -> DataFrame:
+    """Leases of requests (principal, namespace, run_id, node_id, attempt, state_id, rights, ttl, epoch, nonce); a null ttl never expires."""
     return requests.select(
-        F.concat(F.lit(LEASE_PREFIX), F.sha2(bound, 256)).alias("lease_id"), "state_id", "principal", "namespace", "rights",
+        lease_id(now).alias("lease_id"), "state_id", "principal", "namespace", "rights",
         F.lit(now).cast("bigint").alias("issued"), (F.lit(now) + F.col("ttl")).cast("bigint").alias("expires"), "epoch",
     )
 

@@ -68,7 +68,7 @@ def parse_pages(files: DataFrame) -> DataFrame:
     h = cut.select(*rest, "header", "payload", "__at", F.col("header.*"))
     zeroed = {n: F.col(n) for n in _FIELDS} | {"payload_digest": F.lit(_ZEROS), "header_digest": F.lit(_ZEROS)}
     error = (
-        F.when((F.col("__at") == 0) | F.col("header").isNull(), "no_header").when(F.size(rules.page_header()) > 0, rules.first(rules.page_header()))
+        F.when((F.col("__at") == 0) | F.col("magic").isNull(), "no_header").when(F.size(rules.page_header()) > 0, rules.first(rules.page_header()))
         .when(F.col("payload_len") != F.octet_length("payload"), "payload_len").when(F.sha2("payload", 256) != F.col("payload_digest"), "payload_digest")
         .when(F.sha2(_json(zeroed), 256) != F.col("header_digest"), "header_digest")
     )
