@@ -1,66 +1,96 @@
-"""Top-k search: a stated query set against all rows, in blocks of queries."""
+"""Top-k search: a stated query set against all rows.
 
-from __future__ import annotations
+Rows are dealt into parts of bounded size and every query visits every part:
+one shuffle of the rows, and a copy of the queries per part.  A task holds one
+part as a matrix, streams the queries past it in blocks and keeps the k best
+of each.  No query comes to the driver, and one plan serves any number of them.
+"""
 
-from collections.abc import Iterator
-from functools import reduce
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that travel with the tasks of one pass, at most.
+from ..arrow import matrix, slices
+
+#: Rows of a part, at most about; and, of a small table, at least about.
+PART_ROWS, LEAST_ROWS = 65_536, 4_096
+#: Queries that are multiplied with a part at once.
 BLOCK = 1024
+#: Parts whose results are ranked together.
+FAN = 1024
 
 
-def query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r["id"])
-        rows.append(r["x"])
-        if len(ids) == block:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows)
+def part_count(rows: int, cores: int) -> int:
+    """Parts that bound their rows, and enough of them for the cores where the table is small."""
+    return max(1, -(-rows // PART_ROWS), min(cores, -(-rows // LEAST_ROWS)))
 
 
-def _best(block: tuple[np.ndarray, np.ndarray], corpus: DataFrame, k: int, metric: str) -> DataFrame:
-    """(q, id, score): the k best of each Arrow batch for each query."""
-    q_ids, q = block
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    s = q @ x.T
+    if metric == "cosine":
+        s /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+    elif metric == "l2":
+        s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * s))
+    return s.round(9)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            x = batch.column("x").flatten().to_numpy().reshape(len(ids), -1)
-            s = q @ x.T
-            if metric == "cosine":
-                s /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
-            elif metric == "l2":
-                s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * s))
-            s = s.round(9)
-            n = min(k, len(ids))
-            for i, qid in enumerate(q_ids):
-                best = np.lexsort((ids, -s[i]))[:n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, qid)), pa.array(ids[best]), pa.array(s[i][best])], ["q", "id", "score"]
-                )
-
-    return corpus.select("id", "x").mapInArrow(run, "q bigint, id bigint, score double")
-
-
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", block: int = BLOCK) -> DataFrame:
-    """(q, id, score, rank): rank from 0 by score, then id; score is minus the distance for l2."""
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row, by score and then id; ids ascend."""
+    n = s.shape[1]
+    if n > 4 * k:
+        # all that reach the k-th score may be among the best
+        edge = np.partition(s, n - k, axis=1)[:, n - k]
+        return np.stack([(c := np.flatnonzero(row >= e))[np.argsort(-row[c], kind="stable")[:k]] for row, e in zip(s, edge, strict=True)])
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", block: int = BLOCK, rows: int | None = None) -> DataFrame:
+    """(q, id, score, rank): rank from 0 by score, then id; score is minus the distance for l2.
+
+    rows is the size of the corpus where the caller knows it; it is counted else.
+    """
     if k < 1:
         raise ValueError("k must be positive")
-    parts = [_best(b, corpus, k, metric) for b in query_blocks(queries, block)]
-    empty = corpus.sparkSession.createDataFrame([], "q bigint, id bigint, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = reduce(DataFrame.unionAll, parts) if parts else empty
-    return found.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    spark = corpus.sparkSession
+    parts = part_count(corpus.select("id").count() if rows is None else rows, spark.sparkContext.defaultParallelism)
+    own = corpus.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), "id", F.col("x").cast("array<double>").alias("x"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "id", F.col("x").cast("array<double>").alias("x"))
+    dealt = own.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "side", "id")
+
+    def run(batches):
+        part, held, ids, x = -1, [], None, None
+        for batch in slices(batches):
+            parts_, sides = batch.column("part").to_numpy(), batch.column("side").to_numpy()
+            change = np.flatnonzero((np.diff(parts_) != 0) | (np.diff(sides) != 0)) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(sides)], strict=True):
+                piece = batch.slice(a, b - a)
+                if parts_[a] != part:
+                    part, held, ids, x = parts_[a], [], None, None
+                if sides[a] == 0:
+                    held.append(piece)
+                    continue
+                if not held and ids is None:  # no rows in this part
+                    continue
+                if ids is None:
+                    ids = np.concatenate([h.column("id").to_numpy() for h in held])
+                    x, held = np.concatenate([matrix(h.column("x")) for h in held]), []
+                for at in range(0, b - a, block):
+                    some = piece.slice(at, block)
+                    s = _scores(matrix(some.column("x")), x, metric)
+                    best = _best(s, ids, min(k, len(ids)))
+                    q = np.repeat(some.column("id").to_numpy(), best.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(q), part, np.int32)), pa.array(q), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())], ["part", "q", "id", "score"]
+                    )
+
+    found = dealt.mapInArrow(run, "part int, q bigint, id bigint, score double")
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")) - 1).where(F.col("rank") < k)
+    if parts > FAN:
+        found = ranked(found.withColumn("fan", F.floor(F.col("part") / FAN)), "q", "fan").drop("rank")
+    return ranked(found, "q").select("q", "id", "score", "rank")
 
 
 def candidates(k: int, oversample: int) -> int:

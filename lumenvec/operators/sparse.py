@@ -1,84 +1,86 @@
 """Sparse selection plans over score traces: five patterns, a comparison and a gate.
 
-Scores come as rows (trace, pos, score).  Every pattern is one SQL text over
-them, in the functions that Spark and DuckDB share; a trace is a context of
-bounded length, so its windows are too.
+Scores come as rows (trace, pos, score).  All patterns are columns of one table:
+a trace is sorted by score once, blocks are ranked in an aggregate, and caps,
+masses and recalls are running sums over that one order.  A trace is a context
+of bounded length, so its windows are too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 PREFIX, RECENT, VERTICAL, BLOCK, TOP_BLOCKS, MAX_TOKENS, MASS, TOP_K = 4, 8, 8, 16, 2, 32, 0.9, 8
 GATE = {"recall": 0.8, "mass": 0.8, "saved": 0.3}
+PATTERNS = ("ashape", "vertical", "block", "hybrid", "adaptive")
 
-#: Softmax mass, rank by score and length of each trace.
-BASE = """
-m AS (SELECT trace, max(score) AS top, count(*) AS n FROM scored GROUP BY trace),
-e AS (SELECT s.trace, s.pos, s.score, m.n, exp(s.score - m.top) AS e FROM scored s JOIN m ON m.trace = s.trace),
-w AS (SELECT trace, pos, score, n, e, e / sum(e) OVER (PARTITION BY trace) AS p,
-      row_number() OVER (PARTITION BY trace ORDER BY score DESC, pos) - 1 AS r FROM e)"""
-_ENDS = f"(pos < {PREFIX} OR pos >= n - {RECENT})"
-
-
-def _blocks(where: str) -> str:
-    return (
-        f"SELECT trace, blk FROM (SELECT trace, blk, row_number() OVER (PARTITION BY trace ORDER BY mass DESC, blk) AS o "
-        f"FROM (SELECT trace, CAST(floor(pos / {BLOCK}.0) AS BIGINT) AS blk, round(sum(e), 9) AS mass FROM w WHERE {where} GROUP BY trace, CAST(floor(pos / {BLOCK}.0) AS BIGINT)) b) o WHERE o <= {TOP_BLOCKS}"
-    )
-
-
-_IN_BLOCK = f"JOIN ({{}}) k ON k.trace = w.trace AND k.blk = CAST(floor(w.pos / {BLOCK}.0) AS BIGINT)"
-_ADAPTIVE = (
-    "SELECT trace, pos, score FROM (SELECT trace, pos, score, r, coalesce(sum(p) OVER (PARTITION BY trace ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w) a "
-    f"WHERE r < {MAX_TOKENS} AND (r < {TOP_K} OR round(before, 9) < {MASS})"
-)
-PATTERNS = {
-    "ashape": f"SELECT trace, pos, score FROM w WHERE {_ENDS}",
-    "vertical": f"SELECT trace, pos, score FROM w WHERE r < {VERTICAL} OR pos >= n - {RECENT}",
-    "block": "SELECT w.trace, pos, score FROM w " + _IN_BLOCK.format(_blocks("true")),
-    "hybrid": f"SELECT trace, pos, score FROM w WHERE {_ENDS} OR r < {VERTICAL} UNION SELECT w.trace, pos, score FROM w "
-    + _IN_BLOCK.format(_blocks(f"NOT ({_ENDS} OR r < {VERTICAL})")),
-    "adaptive": _ADAPTIVE,
-}
-
-
-def chosen(pattern: str, name: str = "sel") -> str:
-    """The selected positions, capped to the best scores."""
-    return (
-        f"{name} AS (SELECT trace, pos FROM (SELECT trace, pos, row_number() OVER (PARTITION BY trace ORDER BY score DESC, pos) AS c "
-        f"FROM ({PATTERNS[pattern]}) x) y WHERE c <= {MAX_TOKENS})"
-    )
-
-
-_COMPARED = (
-    "SELECT '{0}' AS pattern, w.trace, count(s.pos) AS reads, "
-    f"round(sum(CASE WHEN s.pos IS NOT NULL AND w.r < {TOP_K} THEN 1.0E0 ELSE 0.0E0 END) / least({TOP_K}, max(w.n)), 6) AS recall, "
-    "round(sum(CASE WHEN s.pos IS NOT NULL THEN w.p ELSE 0.0E0 END), 6) AS mass, round(1 - count(s.pos) * 1.0E0 / max(w.n), 6) AS saved "
-    "FROM w LEFT JOIN sel_{0} s ON s.trace = w.trace AND s.pos = w.pos GROUP BY w.trace"
-)
-COMPARE = BASE + "".join(", " + chosen(p, f"sel_{p}") for p in PATTERNS) + ", cmp AS (" + " UNION ALL ".join(_COMPARED.format(p) for p in PATTERNS) + ")"
-_PASS = " AND ".join(f"{k} >= {v}" for k, v in GATE.items())
-SUMMARY = (
-    COMPARE
-    + f" SELECT pattern, count(*) AS traces, sum(CASE WHEN {_PASS} THEN 1 ELSE 0 END) AS passed, round(avg(recall), 6) AS mean_recall, "
-    "round(min(recall), 6) AS least_recall, round(avg(mass), 6) AS mean_mass, round(avg(saved), 6) AS mean_saved, "
-    f"min(CASE WHEN {_PASS} THEN 1 ELSE 0 END) = 1 AS candidate FROM cmp GROUP BY pattern"
-)
-
-
-def over(scored: DataFrame, sql: str) -> DataFrame:
-    """Run one of the texts over (trace, pos, score) rows."""
-    return scored.sparkSession.sql("WITH scored AS (SELECT * FROM {scored}), " + sql.lstrip(", \n"), scored=scored)
+
+def _in_ends() -> Column:
+    return (F.col("pos") < PREFIX) | (F.col("pos") >= F.col("n") - RECENT)
+
+
+def weighed(scored: DataFrame) -> DataFrame:
+    """(trace, pos, score, n, e, p, r, blk): length, softmax weight and share, rank by score from 0, block."""
+    one = Window.partitionBy("trace")
+    w = scored.withColumns({"top": F.max("score").over(one), "n": F.count("*").over(one)}).withColumn("e", F.exp(F.col("score") - F.col("top")))
+    w = w.withColumns({"p": F.col("e") / F.sum("e").over(one), "r": F.row_number().over(one.orderBy(F.desc("score"), "pos")) - 1})
+    return w.withColumn("blk", F.floor(F.col("pos") / BLOCK)).drop("top")
+
+
+def _block_ranks(w: DataFrame) -> DataFrame:
+    """(trace, blk, order, order_rest): blocks by their mass, and by the mass of what ends and verticals leave."""
+    rest = ~(_in_ends() | (F.col("r") < VERTICAL))
+    mass = w.groupBy("trace", "blk").agg(F.round(F.sum("e"), 9).alias("m"), F.round(F.sum(F.when(rest, F.col("e"))), 9).alias("m_rest"))
+    by = lambda c: F.row_number().over(Window.partitionBy("trace").orderBy(F.desc_nulls_last(c), "blk"))
+    ranked = mass.select("trace", "blk", by("m").alias("order"), F.when(F.col("m_rest").isNotNull(), by("m_rest")).alias("order_rest"))
+    return ranked
+
+
+def plans(scored: DataFrame) -> DataFrame:
+    """weighed rows with a boolean column per pattern: whether the position is read."""
+    w = weighed(scored)
+    w = w.join(_block_ranks(w), ["trace", "blk"])
+    ranks = Window.partitionBy("trace").orderBy("r")
+    before = F.coalesce(F.sum("p").over(ranks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    wanted = {
+        "ashape": _in_ends(),
+        "vertical": (F.col("r") < VERTICAL) | (F.col("pos") >= F.col("n") - RECENT),
+        "block": F.col("order") <= TOP_BLOCKS,
+        "hybrid": _in_ends() | (F.col("r") < VERTICAL) | F.coalesce(F.col("order_rest") <= TOP_BLOCKS, F.lit(False)),
+        "adaptive": (F.col("r") < MAX_TOKENS) & ((F.col("r") < TOP_K) | (F.round(before, 9) < MASS)),
+    }
+    w = w.withColumns(wanted)
+    # the cap keeps the best scores: the first MAX_TOKENS wanted ones in the order of ranks
+    capped = {p: F.col(p) & (F.sum(F.col(p).cast("int")).over(ranks) <= MAX_TOKENS) for p in PATTERNS}
+    return w.withColumns(capped)
 
 
 def select(scored: DataFrame, pattern: str) -> DataFrame:
-    return over(scored, BASE + ", " + chosen(pattern) + " SELECT trace, pos FROM sel")
+    """(trace, pos) that a pattern reads."""
+    return plans(scored).where(F.col(pattern)).select("trace", "pos")
 
 
 def compare(scored: DataFrame) -> DataFrame:
-    return over(scored, COMPARE + " SELECT * FROM cmp")
+    """(pattern, trace, reads, recall, mass, saved): all patterns from one aggregate per trace."""
+    w = plans(scored)
+    sums = {}
+    for p in PATTERNS:
+        read = F.col(p)
+        sums[p] = F.struct(
+            F.lit(p).alias("pattern"), F.count_if(read).alias("reads"),
+            F.round(F.count_if(read & (F.col("r") < TOP_K)) / F.least(F.lit(TOP_K), F.max("n")), 6).alias("recall"),
+            F.round(F.sum(F.when(read, F.col("p")).otherwise(0.0)), 6).alias("mass"), F.round(1 - F.count_if(read) / F.max("n"), 6).alias("saved"),
+        ).alias(p)
+    rows = w.groupBy("trace").agg(*sums.values()).select("trace", F.explode(F.array(*PATTERNS)).alias("c"))
+    return rows.select("c.pattern", "trace", "c.reads", "c.recall", "c.mass", "c.saved")
 
 
 def summarise(scored: DataFrame) -> DataFrame:
-    return over(scored, SUMMARY)
+    """(pattern, traces, passed, mean_recall, least_recall, mean_mass, mean_saved, candidate): the gate over all traces."""
+    c = compare(scored)
+    passes = (F.col("recall") >= GATE["recall"]) & (F.col("mass") >= GATE["mass"]) & (F.col("saved") >= GATE["saved"])
+    return c.groupBy("pattern").agg(
+        F.count("*").alias("traces"), F.count_if(passes).alias("passed"), F.round(F.avg("recall"), 6).alias("mean_recall"), F.round(F.min("recall"), 6).alias("least_recall"),
+        F.round(F.avg("mass"), 6).alias("mean_mass"), F.round(F.avg("saved"), 6).alias("mean_saved"), F.bool_and(passes).alias("candidate"),
+    )

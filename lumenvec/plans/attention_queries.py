@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..functions.rotation import lcg_signs
 from ..operators import sparse
 from ..sources.tables import table, vectors
+from . import sparse_sql
 from .common import Plans
 from .vector_queries import _CODES, D, _V, decoded, r6, unrotate
 
@@ -51,7 +53,7 @@ def attend(spark, sf_dir):
 
 
 _UN = f", un AS (SELECT id, label, x, list_transform(range(0, {D}), lambda j: list_sum(list_transform(range(0, {D}), lambda i: z[i+1] * (1 - 2 * (bit_count(i & j) % 2)))) / 8) AS h FROM dec)"
-_SIGN = __import__("lumenvec.functions.rotation", fromlist=["lcg_signs"]).lcg_signs(D)
+_SIGN = lcg_signs(D)
 _UNS = _UN + f", back AS (SELECT id, label, x AS x0, list_transform(range(1, {D + 1}), lambda i: h[i] * ([{','.join(f'{float(s)}::DOUBLE' for s in _SIGN)}])[i]) AS y0 FROM un)"
 _PAIR = (
     _CODES + _UNS
@@ -126,19 +128,19 @@ def _pattern(name: str):
         return sparse.select(scored(spark, sf_dir), name).select("trace", F.col("pos").cast("bigint").alias("pos"))
 
     query.__name__ = f"sparse_{name}"
-    plans.add(_SCORED + sparse.BASE.lstrip() + ", " + sparse.chosen(name) + " SELECT trace, CAST(pos AS BIGINT) AS pos FROM sel")(query)
+    plans.add(_SCORED + sparse_sql.BASE.lstrip() + ", " + sparse_sql.chosen(name) + " SELECT trace, CAST(pos AS BIGINT) AS pos FROM sel")(query)
 
 
 for _name in sparse.PATTERNS:
     _pattern(_name)
 
 
-@plans.add(_SCORED + sparse.COMPARE.lstrip() + " SELECT pattern, trace, CAST(reads AS BIGINT) AS reads, CAST(recall AS DOUBLE) AS recall, CAST(mass AS DOUBLE) AS mass, CAST(saved AS DOUBLE) AS saved FROM cmp")
+@plans.add(_SCORED + sparse_sql.COMPARE.lstrip() + " SELECT pattern, trace, CAST(reads AS BIGINT) AS reads, CAST(recall AS DOUBLE) AS recall, CAST(mass AS DOUBLE) AS mass, CAST(saved AS DOUBLE) AS saved FROM cmp")
 def sparse_compare(spark, sf_dir):
     return sparse.compare(scored(spark, sf_dir))
 
 
-@plans.add(f"SELECT pattern, traces, CAST(passed AS BIGINT) AS passed, mean_recall, least_recall, mean_mass, mean_saved, candidate FROM ({_SCORED}{sparse.SUMMARY.lstrip()})")
+@plans.add(f"SELECT pattern, traces, CAST(passed AS BIGINT) AS passed, mean_recall, least_recall, mean_mass, mean_saved, candidate FROM ({_SCORED}{sparse_sql.SUMMARY.lstrip()})")
 def sparse_gate_summary(spark, sf_dir):
     return sparse.summarise(scored(spark, sf_dir))
 

@@ -7,13 +7,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map, lists, matrix
 from ..functions import codecs as C
-from ..functions import pack, vec
+from ..functions import pack, quantize, vec
 from ..functions.rotation import lcg_signs, multiply, rotate, unrotate
+from ..functions.wire import FibProfile
 from ..operators import search
+from ..shared import Scratch
 from ..sources.tables import table, vectors
 from .common import Plans
 
@@ -122,9 +127,9 @@ def polar_decode_mse(spark, sf_dir):
     return decoded(spark, sf_dir).select("id", r6(vec.mse(F.col("x"), unrotate("z", D))).alias("mse"))
 
 
-def _compressed(spark, sf_dir, k) -> DataFrame:
+def _compressed(spark, sf_dir, k, d=None) -> DataFrame:
     """Rotated queries against decoded codes."""
-    d = decoded(spark, sf_dir)
+    d = decoded(spark, sf_dir) if d is None else d
     return search.top_k(d.select("id", F.col("z").alias("x")), queries_of(d).select("id", F.col("y").alias("x")), k)
 
 
@@ -157,8 +162,9 @@ _RR = ", rr_s AS (SELECT c.q, c.id, e.score FROM cand c JOIN ex_s e ON e.q = c.q
 
 
 def _three(spark, sf_dir):
+    """Exact best, candidates by codes, and these ranked again; the candidates are stored, as two results read them."""
     v = vectors(spark, sf_dir)
-    cand = _compressed(spark, sf_dir, search.candidates(K, OVERSAMPLE))
+    cand = Scratch(spark, "search").store("candidates", _compressed(spark, sf_dir, search.candidates(K, OVERSAMPLE)))
     return search.top_k(v, queries_of(v), K), cand, search.rerank(cand, v, queries_of(v), K)
 
 
@@ -305,13 +311,19 @@ _FIB = f"WITH {_V}, {_ROT}, {_BOOK}, {_NEAR}"
 
 
 def assigned(spark, sf_dir) -> DataFrame:
-    """(id, b, s, nrm, m): unit blocks with their nearest codeword."""
-    y = F.col("y")
-    unit = rotated(spark, sf_dir).withColumn("nrm", vec.norm(y)).withColumn("u", F.transform(y, lambda a: a / F.col("nrm")))
-    cut = unit.select("id", "nrm", F.posexplode(C.blocks(F.col("u"), 4)).alias("b", "s"))
-    # distances are rounded before they are compared, so that ties fall alike everywhere
-    ds = [F.struct(F.round(vec.total(F.zip_with("s", F.array(*map(F.lit, w)), lambda a, c: (a - c) * (a - c))), 12).alias("d"), F.lit(i).cast("bigint").alias("w")) for i, w in enumerate(BOOK)]
-    return cut.withColumn("m", F.array_min(F.array(*ds)))
+    """(id, b, s, nrm, m): unit blocks with their nearest codeword, a matrix of distances per slice of rows."""
+    book = quantize.fib(FibProfile(D))
+
+    def rows(batch):
+        y = matrix(batch.column("y"))
+        nrm = np.sqrt((y * y).sum(1))
+        s = (y / nrm[:, None]).reshape(-1, 4)
+        at, d = book.nearest(s)
+        n = D // 4
+        m = pa.StructArray.from_arrays([pa.array(d), pa.array(at.astype(np.int64))], ["d", "w"])
+        return {"id": np.repeat(batch.column("id").to_numpy(), n), "b": np.tile(np.arange(n), len(y)), "s": lists(s), "nrm": np.repeat(nrm, n), "m": m}
+
+    return arrow_map(rotated(spark, sf_dir).select("id", "y"), rows, "id bigint, b int, s array<double>, nrm double, m struct<d:double,w:bigint>")
 
 
 @plans.add(_FIB + " SELECT id, CAST(b AS BIGINT) AS block, CAST(m.w AS BIGINT) AS word FROM asg")

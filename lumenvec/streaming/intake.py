@@ -1,22 +1,21 @@
 """Stream intake: duplicate suppression within a watermark and snapshots by batch.
 
-Intake state is bounded by the watermark: a duplicate later than that is
-admitted again, unlike with a set that grows for ever.
+Intake state is bounded by the watermark.  A delivery that is older than the
+watermark when it arrives is dropped, whether it is a duplicate or the first of
+its number: the delay has to exceed what a source may be late.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
 from ..sources.tables import table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/lumenvec"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
