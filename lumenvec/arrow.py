@@ -49,7 +49,7 @@ def arrow_map(df: DataFrame, rows_of: Callable[[pa.RecordBatch], dict], schema:
             out = rows_of(batch)
             columns = [out[f.name] for f in arrow_schema]
             yield pa.RecordBatch.from_arrays(
-                [(c if isinstance(c, pa.Array) else pa.array(c, from_pandas=False)).cast(f.type) for c, f in zip(columns, arrow_schema, strict=True)],
+                [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow_schema, strict=True)],
                 schema=arrow_schema,
             )
 
