@@ -1,103 +1,17 @@
-"""Helpers shared by the corpus operators: shared storage and Arrow maps."""
+"""Helpers shared by the corpus operators, on top of the library's scratch tables and Arrow maps."""
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
 
-#: Rows handed to Python at once are cut so that their texts stay below this.
-SLICE_BYTES = 2 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a session has none, a folder under /tmp is set for a master on this
-    one machine; on a cluster that would lose rows, so it is an error there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file:///tmp/checkpoints/lumenvec"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-#: The folder of the innermost open ``scratch_scope``.
-_scope: ContextVar[str | None] = ContextVar("scope", default=None)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that its path names."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextmanager
-def scratch_scope(spark: SparkSession):
-    """Everything that operators write while it is open goes when it closes.
-
-    A result that was not written inside cannot be read afterwards.
-    """
-    path = fresh_path(spark, "scope")
-    token = _scope.set(path)
-    try:
-        yield
-    finally:
-        _scope.reset(token)
-        remove(spark, path)
-
-
-@contextmanager
-def settings(spark: SparkSession, wanted: dict[str, str]):
-    """Session settings for the plans that run inside; put back after."""
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-class Scratch:
-    """The tables that an operator writes on its way, in the shared folder.
-
-    A written table cuts the lineage: what reads it survives lost executors
-    without the steps before.  Spark removes the shuffle files of a step once
-    its table is written, and ``drop`` removes a table that later ones replace.
-    What the operator's result still reads stays, for a scratch_scope to remove.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, fresh_path(spark, name)
-
-    def store(self, step: str, df: DataFrame) -> DataFrame:
-        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
-            df.write.parquet(f"{self.path}/{step}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{step}")
-
-    def drop(self, *steps: str) -> None:
-        for step in steps:
-            remove(self.spark, f"{self.path}/{step}")
+from .. import arrow
+from ..arrow import slices
+from ..shared import Scratch, fresh_path, scratch_scope, settings, shared_dir
 
+__all__ = ["Scratch", "arrow_map", "fresh_path", "pick", "runtime_filters", "scratch_scope", "shared_dir", "slices", "table", "utf8"]
 
 #: Bits of a runtime Bloom filter: 4 MB, whatever the size of the tables.
 FILTER_BITS = 1 << 25
@@ -125,32 +39,9 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut to about SLICE_BYTES, one row at least."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        step = max(1, min(n, int(n * SLICE_BYTES / max(1, batch.nbytes))))
-        for at in range(0, n, step):
-            yield batch.slice(at, step)
-
-
-def arrow_map(
-    df: DataFrame, rows_of: Callable[[dict[str, list]], dict[str, list]], schema: str
-) -> DataFrame:
+def arrow_map(df: DataFrame, rows_of: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow over column lists: bounded slices in, equally named lists out."""
-    spark_schema = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    arrow_schema = to_arrow_schema(spark_schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = rows_of(batch.to_pydict())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema
-            )
-
-    return df.mapInArrow(run, spark_schema)
+    return arrow.arrow_map(df, lambda batch: rows_of(batch.to_pydict()), schema)
 
 
 def utf8(column: str):

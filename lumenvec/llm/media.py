@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, utf8
+from .common import Scratch, arrow_map, pick, utf8
 
 UNIT = 64
 SCHEME = "urn:sha256:"
@@ -108,6 +108,8 @@ class _Items(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in self.SKIP:
             self.skip += 1
+        if tag in self.BLOCK or tag in self.MEDIA:  # also ends a caption that was left open
+            self.in_caption = False
         if tag in self.MEDIA:
             self.end_text()
             attrs = dict(attrs)
@@ -132,6 +134,7 @@ class _Items(HTMLParser):
         elif tag == "figcaption":
             self.in_caption = False
         elif tag in self.BLOCK:
+            self.in_caption = False
             self.end_text()
             if tag == "figure":
                 self.end_figure()
@@ -146,29 +149,30 @@ def parse_html(html: str | None) -> list[dict]:
     parser.feed(html or "")
     parser.close()
     parser.end_text()
+    parser.end_figure()
     return parser.items
 
 
-def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, position, kind, text, ref, digest, caption): the items of each page in order."""
+def parse_sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, position, kind, text, ref, digest, caption[, kept columns]): the items of each page in order."""
 
     def rows(cols):
-        out = {k: [] for k in ("id", "position", "kind", "text", "ref", "digest", "caption")}
-        for key, html in zip(cols["id"], cols["html"], strict=True):
+        kept = [f"keep_{c}" for c in keep]
+        out = {k: [] for k in ("id", "position", "kind", "text", "ref", "digest", "caption", *kept)}
+        for at, (key, html) in enumerate(zip(cols["id"], cols["html"], strict=True)):
+            own = {k: cols[k][at] for k in kept}
             for i, item in enumerate(parse_html(html)):
                 ref = item["ref"]
                 digest = ref[len(SCHEME) :] if ref and ref.startswith(SCHEME) else None
-                for k, v in (item | {"id": key, "position": i, "digest": digest}).items():
+                for k, v in (item | own | {"id": key, "position": i, "digest": digest}).items():
                     out[k].append(v)
         return out
 
-    source = pick(pages, id=id_col, html=html_col)
+    source = pick(pages, id=id_col, html=html_col, **{f"keep_{c}": c for c in keep})
     kind = source.schema["id"].dataType.simpleString()
-    schema = (
-        f"id {kind}, position bigint, kind string, text string, ref string, digest string, "
-        "caption string"
-    )
-    return arrow_map(source, rows, schema).withColumnRenamed("id", id_col)
+    kept = "".join(f", keep_{c} {source.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+    schema = f"id {kind}, position bigint, kind string, text string, ref string, digest string, caption string{kept}"
+    return arrow_map(source, rows, schema).withColumnsRenamed({"id": id_col} | {f"keep_{c}": c for c in keep})
 
 
 def payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -181,7 +185,7 @@ def payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def store_media(media: DataFrame) -> DataFrame:
-    """(digest, blob): each distinct payload once, as PNG.
+    """(digest, blob): each distinct payload once, as PNG, written to the shared folder and read from there.
 
     Copies meet as compressed blobs and are folded on the map side first, so
     that a hot payload is one row a task.
@@ -191,7 +195,7 @@ def store_media(media: DataFrame) -> DataFrame:
         return {"digest": cols["digest"], "blob": [png_encode(p) for p in cols["payload"]]}
 
     blobs = arrow_map(media, rows, "digest string, blob binary")
-    return blobs.groupBy("digest").agg(F.first("blob").alias("blob"))
+    return Scratch(media.sparkSession, "media").store("blobs", blobs.groupBy("digest").agg(F.first("blob").alias("blob")))
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -225,13 +229,13 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def document_html(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as an interleaved page: a heading and a figure that refers to its payload."""
+    """(id, n_bytes, html): each document as an interleaved page: a heading and a figure that refers to its payload."""
     raw = pick(docs, id=id_col, text=text_col).select("id", utf8("text").alias("raw"))
     n = F.octet_length("raw")
     padded = F.greatest(F.lit(1), F.ceil(n / UNIT)).cast("int") * UNIT
     digest = F.sha2(F.rpad("raw", padded, F.lit(b"\0")), 256)
     html = F.concat(
         F.lit("<article><p>document</p><figure><img src='" + SCHEME), digest,
-        F.lit("'><figcaption>"), n.cast("string"), F.lit("</figcaption></figure></article>"),
+        F.lit("'><figcaption>"), n.cast("string"), F.lit(" bytes</figcaption></figure></article>"),
     )
-    return raw.select(F.col("id").alias(id_col), html.alias("html"))
+    return raw.select(F.col("id").alias(id_col), n.cast("bigint").alias("n_bytes"), html.alias("html"))

@@ -2,8 +2,9 @@
 
 Base kinds are email, ip, card and phone; every base span is reported whatever
 its score.  Beyond them the method adds ``iban`` (mod-97, tried at each border
-of a group) and ``short_card`` (13 to 15 digits, Luhn, kept only near a payment
-word).
+of a group), ``short_card`` (13 to 15 digits, Luhn, kept only near a payment
+word) and ``secret`` (a quoted run of 32 or more key characters, confirmed by
+its entropy, kept unless it looks regular and no word near speaks of a key).
 
 All patterns run in time linear in the text: runs of digits or word characters
 are taken possessively and an address is found from its ``@`` outwards, so a
@@ -16,20 +17,23 @@ each on its own; a null id stays null; only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, pick
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "short_card")
+KINDS = (*BASE_KINDS, "iban", "short_card", "secret")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"""(?<=["'])[A-Za-z0-9+/_=-]{32,}+(?=["'])""")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 _IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
 #: Characters of an IBAN by country.
@@ -47,7 +51,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SEPARATORS = str.maketrans("", "", " -")
 
 #: Score of a span before its context, and words that raise it when near.
-_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "short_card": 0.4}
+_START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "short_card": 0.4, "secret": 0.4}
 _CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
@@ -55,7 +59,10 @@ _CONTEXT = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "short_card": ("card", "amex", "credit", "payment", "pay"),
+    "secret": ("key", "token", "secret", "password", "credential", "auth"),
 }
+#: Bits a character of a secret has at least, and those that need no word near.
+_ENTROPY, _SURE_ENTROPY = 2.5, 3.2
 _NEAR = 48
 _RAISE = 0.2
 KEEP_SCORE = 0.5
@@ -114,6 +121,12 @@ def _emails(text: str):
         at = text.find("@", after)
 
 
+def entropy(text: str) -> float:
+    """Bits a character, by the characters' own shares."""
+    n = len(text)
+    return -sum(k / n * math.log2(k / n) for k in Counter(text).values())
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or 0) <= 255
@@ -141,9 +154,12 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
         if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             found.append(("phone", *m.span()))
     found += [("iban", *span) for span in _ibans(text)]
+    bits = {m.span(): entropy(m[0]) for m in _SECRET.finditer(text) if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0]))}
+    short += [("secret", *span) for span, e in bits.items() if e >= _ENTROPY]
     out = []
     for kind, a, b in found + short:
-        score = round(min(1.0, _START[kind] + _RAISE * _near(text, kind, a, b)), 2)
+        sure = kind == "secret" and bits[a, b] >= _SURE_ENTROPY
+        score = round(min(1.0, _START[kind] + _RAISE * (_near(text, kind, a, b) + sure)), 2)
         if kind in BASE_KINDS or score >= KEEP_SCORE:
             out.append((kind, a, b, score))
     return out
@@ -167,30 +183,35 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(source, rows, schema).withColumnRenamed("id", id_col)
 
 
-def joined(found: list[dict], kinds: tuple[str, ...]) -> str:
+def _ordered(found: list[tuple], kinds: tuple[str, ...]) -> list[tuple]:
     order = {k: i for i, k in enumerate(kinds)}
-    kept = sorted((order[s["kind"]], s["start"], s["end"]) for s in found if s["kind"] in order)
-    return ",".join(f"{kinds[k]}:{a}:{b}" for k, a, b in kept)
+    return sorted((s for s in found if s[0] in order), key=lambda s: (order[s[0]], s[1], s[2]))
+
+
+def joined(found: list[tuple]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in found)
 
 
-def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of the spans of find_pii()."""
+def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts, digest, spans and scores per document, from one pass over each text.
+
+    base_sha256 digests the base kinds' spans; spans and scores list all kinds
+    in one order; n_spans counts them.
+    """
 
     def rows(cols):
-        out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")}
-        for found in cols["spans"]:
-            found = found or []
-            for kind in BASE_KINDS:
-                out[f"n_{kind}"].append(sum(s["kind"] == kind for s in found))
-            base = joined(found, BASE_KINDS)
-            out["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
-            out["spans"].append(joined(found, KINDS))
+        names = (*(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "scores", "n_spans")
+        out = {k: [] for k in names}
+        for text in cols["text"]:
+            found = spans(text)
+            base, every = _ordered(found, BASE_KINDS), _ordered(found, KINDS)
+            counts = Counter(s[0] for s in base)
+            row = (*(counts[k] for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), ",".join(f"{s[3]:.2f}" for s in every), len(every))
+            for k, v in zip(names, row, strict=True):
+                out[k].append(v)
         return {"id": cols["id"], **out}
 
-    source = pick(found, id=id_col, spans="spans")
+    source = pick(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
-    schema = (
-        f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-        "base_sha256 string, spans string"
-    )
+    schema = f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, scores string, n_spans bigint"
     return arrow_map(source, rows, schema).withColumnRenamed("id", id_col)

@@ -10,16 +10,15 @@ from .common import table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents")))
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    items = media.parse_sequences(media.document_html(docs), "doc_id").where("kind = 'image'")
+    items = media.parse_sequences(media.document_html(docs), "doc_id", keep=("n_bytes",)).where("kind = 'image'")
     features = media.media_features(media.store_media(media.payloads(docs)))
     return media.resolve(items, features).select(
-        "doc_id", F.col("caption").cast("bigint").alias("n_bytes"), "payload_bytes", "payload_sha256",
-        "tail_crc32", "media_bytes", "media_sha256", "feature", "position",
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption",
     )
 
 

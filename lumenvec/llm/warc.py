@@ -11,7 +11,9 @@ and target_uri are pushed down.  The header of a record is inflated first; if a
 pushed predicate rejects it, or payloads are not asked for, the reader seeks to
 the next member: each member carries its compressed length in an ``sl`` extra
 field of the gzip header, so a rejected payload is neither read nor inflated.
-Archives of other writers have no such field and are inflated to the end.  The
+Archives of other writers have no such field and are inflated to the end; a
+member may hold several records there.  A payload that this writer stored is
+checked against its digest when it is read.  The
 payload is the whole block of a record of any type but revisit, which has none.
 
 Edge cases: a null payload is an empty one; a null id is left out of the header
@@ -49,6 +51,9 @@ WRITE_SCHEMA = "page_id bigint, target_uri string, record_type string, refers_to
 READ_SCHEMA = WRITE_SCHEMA
 MANIFEST = "_manifest.json"
 READ_BLOCK = 1 << 16
+#: Rows and payload bytes of a batch that the reader hands on.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
+_ARROW = pa.schema([("page_id", pa.int64()), ("target_uri", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -161,7 +166,7 @@ class Files(InputPartition):
 
 
 class Member:
-    """Streams one gzip member: the head first, the rest only if asked for."""
+    """Streams the records of one gzip member: a head first, its block only if asked for."""
 
     def __init__(self, source, at: int):
         self.source, self.at = source, at
@@ -185,26 +190,32 @@ class Member:
         self.data += self.inflate.decompress(block)
         return True
 
-    def head(self) -> dict[str, str]:
-        while (end := self.data.find(b"\r\n\r\n")) < 0:
+    def head(self) -> dict[str, str] | None:
+        """The next record's headers; None at the end of the member."""
+        while (end := self.data.find(b"\r\n\r\n", len(self.data) - len(self.data.lstrip(b"\r\n")))) < 0:
             if not self._more():
-                raise ValueError("WARC record without end of headers")
-        self.body = end + 4
-        return parse_headers(self.data[:end])
-
-    def payload(self, n: int) -> bytes:
-        parts, have = [self.data[self.body :]], len(self.data) - self.body
-        while have < n and not self.inflate.eof:
-            self.data = b""
-            self._more()
-            parts.append(self.data)
-            have += len(self.data)
-        data = b"".join(parts)
-        if len(data) < n:
-            raise ValueError("truncated WARC record")
-        return data[:n]
+                if self.data.strip(b"\r\n"):
+                    raise ValueError("WARC record without end of headers")
+                return None
+        headers = parse_headers(self.data[:end].lstrip(b"\r\n"))
+        self.data = self.data[end + 4 :]
+        return headers
+
+    def block(self, n: int, keep: bool) -> bytes:
+        """The record's block, or nothing if it is passed over."""
+        parts, left = [], n
+        while True:
+            piece, self.data = self.data[:left], self.data[left:]
+            left -= len(piece)
+            if keep:
+                parts.append(piece)
+            if not left:
+                return b"".join(parts)
+            if not self._more():
+                raise ValueError("truncated WARC record")
 
     def next(self) -> int:
+        """Where the next member begins."""
         if self.skip is not None:
             return self.at + self.skip
         while not self.inflate.eof:
@@ -246,32 +257,49 @@ class WarcReader(DataSourceReader):
     def wanted(self, row: dict) -> bool:
         return all(row[k] == v for k, values in self.filters.items() for v in values)
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = open_path(self.path)
+        rows, size = [], 0
         for path in partition.paths:
             with store.open_input_file(path) as source:
-                at, size = 0, source.size()
-                while at < size:
+                at, end = 0, source.size()
+                while at < end:
                     member = Member(source, at)
-                    h = member.head()
-                    number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-                    digest = h.get("warc-payload-digest")
-                    # a revisit's block is not its payload
-                    length = None if h.get("warc-type") == "revisit" else number("content-length")
-                    row = {
-                        "page_id": number("warc-x-page-id"),
-                        "target_uri": h.get("warc-target-uri"),
-                        "record_type": h.get("warc-type"),
-                        "refers_to": number("warc-x-refers-to-page-id"),
-                        "payload_bytes": number("warc-x-payload-length") if "warc-x-payload-length" in h else length,
-                        "payload_digest": digest.rpartition(":")[2] if digest else None,
-                        "payload": None,
-                    }
-                    if self.wanted(row):
-                        if self.payload and length is not None:
-                            row["payload"] = member.payload(length)
-                        yield tuple(row.values())
+                    while (h := member.head()) is not None:
+                        row, own = self.record(member, h)
+                        if row is not None:
+                            rows.append(row)
+                            size += len(row["payload"] or b"")
+                            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                                rows, size = [], 0
+                        if own and member.skip is not None:
+                            break  # the member's only record: what is left of it is not inflated
                     at = member.next()
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    def record(self, member: Member, h: dict[str, str]) -> tuple[dict | None, bool]:
+        """The row of a record, None if it is not wanted; and whether this writer made it."""
+        number = lambda k: int(h[k]) if k in h else None
+        digest, own = h.get("warc-payload-digest"), "warc-x-payload-length" in h
+        block = number("content-length") or 0
+        # a revisit's block is not its payload
+        length = None if h.get("warc-type") == "revisit" else number("content-length")
+        row = {
+            "page_id": number("warc-x-page-id"), "target_uri": h.get("warc-target-uri"), "record_type": h.get("warc-type"),
+            "refers_to": number("warc-x-refers-to-page-id"), "payload_bytes": number("warc-x-payload-length") if own else length,
+            "payload_digest": digest.rpartition(":")[2] if digest else None, "payload": None,
+        }
+        wanted = self.wanted(row)
+        keep = wanted and self.payload and length is not None
+        if keep or not own or member.skip is None:
+            payload = member.block(block, keep)
+            if keep:
+                row["payload"] = payload
+                if own and row["payload_digest"] != sha1_base32(payload):
+                    raise ValueError(f"the payload of page {row['page_id']} does not have its digest")
+        return (row if wanted else None), own
 
 
 class WarcSource(DataSource):
@@ -294,6 +322,7 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, with the push-down of predicates that Python sources need, from now on."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

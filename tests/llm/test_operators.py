@@ -69,7 +69,7 @@ def test_iban_before_other_words():
 
 def test_media_round_trip(spark, corpus):
     d = docs(spark, corpus)
-    items = media.parse_sequences(media.document_html(d), "doc_id").where("kind = 'image'")
+    items = media.parse_sequences(media.document_html(d), "doc_id", keep=("n_bytes",)).where("kind = 'image'")
     rows = media.resolve(items, media.media_features(media.store_media(media.payloads(d)))).collect()
     assert len(rows) == len(corpus)
     for r in rows:
@@ -259,7 +259,7 @@ def test_substring_rows_without_an_id_of_their_own(spark, key):
 
 def test_empty_table(spark, corpus):
     none = docs(spark, corpus).limit(0)
-    assert pii.pii_digest(pii.find_pii(none)).count() == 0
+    assert pii.pii_digest(none).count() == 0
     assert linededup.removed_lines(none).count() == 0
     assert ngramjoin.similar_documents(none).count() == 0
     assert suffixdedup.dedup_substrings(none).count() == 0
@@ -272,5 +272,193 @@ def test_null_ids_and_repeated_rows(spark):
     d = docs(spark, [text, text, text, "short"], [None, 4, 4, 5])
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngramjoin.similar_documents(d).collect())
     assert got == [(-1, -1), (4, 4), (4, 4), (5, 5)]
-    assert linededup.drop_lines(d).count() == 4
+    assert {r.doc_id for r in linededup.drop_lines(d).collect()} == {one, three, None}  # the only line of the second goes
     assert substring.repeated_units(d).select(F.count("*")).first()[0] >= 1
+
+
+def test_media_columns_against_plain_python(spark):
+    import math
+    import struct
+    import zlib
+
+    texts = ["", None, "a", "x" * 63, "x" * 64, "é" * 33, "long " * 40_000, "a"]
+    d = docs(spark, texts, [None, 1, 2, 3, 4, 5, 6, 2])
+    items = media.parse_sequences(media.document_html(d), "doc_id", keep=("n_bytes",)).where("kind = 'image'")
+    rows = media.resolve(items, media.media_features(media.store_media(media.payloads(d)))).collect()
+    assert len(rows) == len(texts)
+    want = Counter()
+    for i, t in zip([None, 1, 2, 3, 4, 5, 6, 2], texts, strict=True):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or 64 * (not raw))
+        grid = b"".join(b"\0" + payload[k : k + 64] for k in range(0, len(payload), 64))
+        chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, len(payload) // 64, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(grid, 6)) + chunk(b"IEND", b"")
+        n = len(payload)
+        mean = sum(payload) / n
+        std = math.sqrt(sum((b - mean) ** 2 for b in payload) / n)
+        bits = -sum(c / n * math.log2(c / n) for c in Counter(payload).values()) + 0.0
+        want[(i, len(raw), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), f"h={n // 64};mean={mean:.4f};std={std:.4f};entropy={bits:.4f}")] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in rows) == want
+
+
+def test_html_items():
+    items = media.parse_html("<figure><img src=a><figcaption>first<p>after</p><img src=b alt=c></figure><p>end")
+    assert [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in items] == [("image", "a", "first"), ("text", "after", None), ("image", "b", "first"), ("text", "end", None)]
+    assert [i["caption"] for i in media.parse_html("<figure><img src=a><figcaption>open")] == ["open"]
+    assert media.parse_html("<script>x</script><style>y</style>") == [] and media.parse_html("<p>a<br>b")[1]["text"] == "b"
+
+
+def test_real_pages_are_sequences(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    items = media.parse_sequences(pages).collect()
+    by = {}
+    for r in items:
+        by.setdefault(r.page_id, []).append(r.position)
+    assert by and all(sorted(p) == list(range(len(p))) for p in by.values())
+    assert all(r.text.strip() for r in items if r.kind == "text")
+
+
+def test_several_records_in_a_gzip_member(spark, tmp_path):
+    record = lambda kind, block: f"WARC/1.0\r\nWARC-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    blocks = [b"one", b"", b"\r\n\r\nthree\r\n\r\n", b"x" * 200_000]
+    with open(tmp_path / "a.warc.gz", "wb") as f:
+        f.write(gzip.compress(b"".join(record("resource", b) for b in blocks)) + gzip.compress(record("metadata", b"five")))
+    got = [bytes(r.payload) for r in warc.read_archive(spark, str(tmp_path)).collect()]
+    assert got == [*blocks, b"five"]
+    assert warc.read_archive(spark, str(tmp_path), payload=False).where("record_type = 'metadata'").count() == 1
+    assert [r.payload_bytes for r in warc.read_archive(spark, str(tmp_path)).select("payload_bytes").collect()] == [len(b) for b in [*blocks, b"five"]]
+
+
+def test_damaged_payloads_are_errors(spark, tmp_path):
+    row = {"payload": b"abc", "payload_digest": warc.sha1_base32(b"abd"), "payload_bytes": None, "record_type": "response", "page_id": 1, "target_uri": None, "refers_to": None}
+    (tmp_path / "a.warc.gz").write_bytes(warc.gzip_member(warc.record_bytes(row, "1970-01-01T00:00:00Z")))
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc.read_archive(spark, str(tmp_path)).collect()
+    assert warc.read_archive(spark, str(tmp_path), payload=False).first().payload is None
+
+
+def test_warc_against_plain_python(spark):
+    rng = random.Random(4)
+    rows = [(i, f"u{i}", rng.choice([None, "", "a", "b" * 500, f"own {i}", "é"]), "clash") for i in range(80)]
+    rng.shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload string")
+    first = {}
+    for i, _, html, _ in sorted(rows):
+        first.setdefault(html or "", i)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
+    want = {}
+    for i, _, html, _ in rows:
+        raw, f = (html or "").encode(), first[html or ""]
+        want[i] = (len(raw), warc.sha1_base32(raw), "response" if f == i else "revisit", None if f == i else f)
+    assert got == want
+
+
+def test_decontamination_against_plain_distance(spark):
+    rng = random.Random(12)
+    items = [(i, words(rng, n)) for i, n in enumerate((3, 6, 10))]
+    texts = []
+    for k in range(30):
+        text = list(rng.choice(items)[1])
+        for _ in range(k % 6):
+            at = rng.randrange(len(text))
+            rng.choice([lambda: text.insert(at, "q"), lambda: text.pop(at), lambda: text.__setitem__(at, "q")])()
+        texts.append(words(rng, rng.randrange(0, 6)) + " " + "".join(text) + " " + words(rng, rng.randrange(0, 6)))
+
+    def best(text, item):
+        row, least = list(range(len(item) + 1)), len(item)
+        for c in text.lower():
+            new = [0]
+            for k, p in enumerate(item):
+                new.append(min(row[k] + (p != c), row[k + 1] + 1, new[k] + 1))
+            row, least = new, min(least, new[-1])
+        return least
+
+    want = {(i, j) for i, t in enumerate(texts) for j, item in items if best(t, item.lower()) <= int(len(item) * decontam.EDIT_RATE)}
+    test = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id int, text string, doc_id string")
+    got = decontam.find_items(docs(spark, texts), test).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 5 < len(want) < 85
+    assert {r.doc_id for r in decontam.drop_contaminated(docs(spark, texts), test).collect()} == set(range(30)) - {i for i, _ in want}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_ids_of_any_type(spark, kind):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, far = text.replace("w7 ", "x "), " ".join(f"v{i}" for i in range(60))
+    d = spark.createDataFrame([(1, text), (2, near), (3, far), (None, far)], "doc_id bigint, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = {(r.doc_id, r.component_id) for r in ngramjoin.similar_documents(d, percent=80).collect()}
+    one, two, three = (spark.range(1).select(F.lit(i).cast(kind)).first()[0] for i in (1, 2, 3))
+    assert got == {(one, one), (two, one), (three, three), (None, None)}
+    assert {r.doc_id for r in packing.pack(d, packing.word_bpe_path()).collect()} == {one, two, three, None}
+    for rows in (pii.pii_digest(d), suffixdedup.dedup_substrings(d), media.parse_sequences(media.document_html(d), "doc_id")):
+        assert {r.doc_id for r in rows.collect()} == {one, two, three, None}
+    assert {r.doc_id for r in linededup.drop_lines(d).collect()} == {one, three, None}  # the only line of the second goes
+
+
+def test_sets_of_one_id_are_told_apart(spark):
+    rng = random.Random(21)
+    a, b = words(rng, 80), words(rng, 80)
+    swap = lambda t: t.replace(t.split()[40], "changed", 1)
+    d = docs(spark, [a, b, swap(a), swap(b), words(rng, 80)], [1, 1, 2, 3, 4])
+    got = sorted((r.doc_id, r.component_id) for r in ngramjoin.similar_documents(d, percent=80).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert sorted(r.doc_id for r in ngramjoin.keep_one(d, percent=80).collect()) == [1, 1, 4]
+
+
+def test_hot_lists_are_chained_across_tasks(spark):
+    rng = random.Random(22)
+    base = words(rng, 60).split()
+    texts = []
+    for i in range(90):  # near copies: one list holds nearly all of them
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(w))
+    got = {r.component_id for r in ngramjoin.similar_documents(docs(spark, texts), n=1, percent=90, family_block=7).collect()}
+    assert got == {0}
+
+
+def test_periodic_and_very_long_texts(spark):
+    texts = ["a" * 300_000, "ab" * 60_000, "=-" * 50 + "\n", " ".join(f"w{i}" for i in range(120_000))]
+    d = docs(spark, texts)
+    got = {r.doc_id: r for r in suffixdedup.dedup_substrings(d).collect()}
+    assert [got[i].n_removed for i in range(4)] == [300_000, 120_000, 0, 0] and got[0].n_spans == 1
+    assert linededup.removed_lines(d).count() == 0
+    assert {r.component_id for r in ngramjoin.similar_documents(d).collect()} == {0, 1, 2, 3}
+    assert substring.repeated_units(d).where("doc_id = 3").count() == 0
+    assert quality.classify(d, spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")).count() == 4
+    pieces = packing.pack(d, packing.word_bpe_path()).where("doc_id = 3").collect()
+    assert sum(r.length for r in pieces) > 200_000 and all(r.length == packing.CAPACITY for r in pieces if r.piece < len(pieces) - 1)
+
+
+def test_empty_tables_of_all_operators(spark, corpus):
+    none = docs(spark, corpus).limit(0)
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    items = spark.createDataFrame([(1, "text of an item")], "item_id bigint, text string")
+    assert media.media_features(media.store_media(media.payloads(none))).count() == 0
+    assert media.parse_sequences(media.document_html(none), "doc_id").count() == 0
+    assert decontam.find_items(none, items).count() == decontam.drop_contaminated(none, items).count() == 0
+    assert quality.classify(none, labels).count() == quality.keep_good(none, labels).count() == 0
+    some = docs(spark, corpus)
+    assert decontam.find_items(some, items.limit(0)).count() == 0 and decontam.drop_contaminated(some, items.limit(0)).count() == len(corpus)
+    assert quality.keep_good(some, labels.limit(0)).count() == len(corpus)
+    assert linededup.drop_lines(none).count() == ngramjoin.keep_one(none).count() == 0
+
+
+def test_secrets_and_scores():
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    found = pii.spans(f'api key "{key}" and "{"ab" * 20}" and "{"1" * 40}"')
+    assert [(k, s) for k, _, _, s in found] == [("secret", 0.8)]
+    alone = {k: s for k, _, _, s in pii.spans("x 10.0.0.1 y")}
+    near = {k: s for k, _, _, s in pii.spans("the server address 10.0.0.1")}
+    assert near["ip"] > alone["ip"]
+
+
+def test_scratch_scope_removes_what_operators_wrote(spark, corpus, tmp_path):
+    import os
+
+    from lumenvec.llm.common import scratch_scope, shared_dir
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    with scratch_scope(spark):
+        assert ngramjoin.similar_documents(docs(spark, corpus)).count() == len(corpus)
+        assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) != before
+    assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before
