@@ -147,6 +147,17 @@ def similarity(states: DataFrame, pages: DataFrame, tolerance: float) -> DataFra
     return sized.select("id", "parent", F.round(gap, 6).alias("difference"), (gap <= tolerance).alias("reusable"))
 
 
+def delta(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, page, change) between a state and its parent: pages added, and pages removed; one aggregate tells the sides apart.
+
+    edges as (id, parent), each once; pages as (id, page), each once.
+    """
+    own = edges.join(pages, "id").select("id", "page", F.lit(1).alias("side"))
+    old = edges.join(pages.withColumnRenamed("id", "parent"), "parent").select("id", "page", F.lit(2).alias("side"))
+    sides = own.unionByName(old).groupBy("id", "page").agg(F.sum("side").alias("side")).where("side != 3")
+    return sides.select("id", "page", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change"))
+
+
 def lease_status(now: float, epoch: int, right: int) -> Column:
     """Principal before state before expiry before revocation before right."""
     return (

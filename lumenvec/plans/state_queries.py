@@ -129,9 +129,7 @@ def state_delta(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     edges = states(spark, sf_dir).where("parent is not null").select("id", "parent")
     edges = edges.join(pages.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
-    own = edges.join(pages, "id").select("id", "page")
-    old = edges.join(pages.withColumnRenamed("id", "parent"), "parent").select("id", "page")
-    return own.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(own).withColumn("change", F.lit("removed")))
+    return state.delta(edges, pages)
 
 
 # ---------------------------------------------------------------- policies and leases
