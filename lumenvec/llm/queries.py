@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, media, ngramjoin, packing, pii, quality, substring, suffixdedup, warc
+from . import decontam, linededup, media, ngramjoin, oracles, packing, pii, quality, substring, suffixdedup, warc
 from .common import table
 
 
@@ -31,7 +31,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,5 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: The others have no SQL: they fit models, search by edits, tokenise, make images or match spans with checksums.
+ORACLES: dict[str, str] = {"op3_line_dedup": oracles.OP3, "op5_warc": oracles.OP5, "op8_ngram_join": oracles.OP8, "op9_suffix_dedup": oracles.OP9}
