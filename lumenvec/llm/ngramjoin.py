@@ -16,7 +16,10 @@ filed under its blocks, members of a list form a chain and so hang together in
 a candidate family, and within a family the exact overlaps are counted by scanning the inverted
 lists of the rarest shingles that a linked set has to share.  Families beyond
 ``family_block`` sets are scanned as pairs of blocks, so no task holds more
-than two blocks; only the links of a spanning forest leave a task.
+than two blocks; only the links of a spanning forest leave a task.  Before
+that, the neighbours in their lists are verified one by one: sets that these
+links join already need not meet again, so a large group of near copies costs
+its neighbours and its stragglers, not all its pairs of blocks.
 
 The boundary is where enumerating costs more keys than list keys and their
 checks would.
@@ -304,21 +307,67 @@ def scan_lists(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def places(classes: DataFrame, families: DataFrame, family_block: int) -> DataFrame:
-    """(id, d1, d2, component, blocks, pairs): the tasks that have to see each set.
-
-    Families of one set need none.  A set goes to the tasks of all pairs of
-    blocks with its own.
-    """
+def members(classes: DataFrame, families: DataFrame) -> DataFrame:
+    """(id, d1, d2, component, n): the sets of each family of two sets at least, and how many it has."""
     member = families.join(classes.select(F.col("rep").alias("id"), "d1", "d2").hint("merge"), "id")
     size = member.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    size = size.select("component", F.ceil(F.col("n") / family_block).cast("int").alias("blocks"))
-    dealt = member.join(size.hint("merge"), "component").withColumn("block", F.pmod(F.xxhash64("id", "d1"), F.col("blocks")).cast("int"))
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")),
-    )
-    return dealt.select("id", "d1", "d2", "component", "blocks", pair.alias("pairs"))
+    return member.join(size.hint("merge"), "component")
+
+
+def verified_links(docs: DataFrame, edges: DataFrame, n: int, percent: int, work: Scratch) -> DataFrame:
+    """(a, b) of edges whose texts link; docs as (id, text), of an id with several texts any may."""
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    texts = docs.join(ends.hint("merge"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
+    texts = work.store("edge-texts", texts)
+    of = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).hint("merge")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches):
+            keep, last, x = [], None, None
+            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                if x is None or a != last:
+                    last, x = a, shingle_set(a, n)
+                y = shingle_set(b, n)
+                o = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(o) and 100 * o >= percent * (len(x) + len(y) - o))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def places(member: DataFrame, clusters: DataFrame | None, family_block: int) -> DataFrame:
+    """(id, d1, d2, component, n, pairs): the tasks that have to see each set.
+
+    A family of up to family_block sets is one task.  Of a larger one, clusters
+    (id, cluster) say which sets are joined already: a cluster that is large
+    itself has blocks of its own, all others share blocks.  Two blocks of one
+    large cluster need not meet; a set goes to every other pair with its block.
+    """
+    small = member.where(F.col("n") <= family_block)
+    one = F.array(F.struct(F.lit("").alias("i"), F.lit("").alias("j")))
+    out = small.withColumn("pairs", one)
+    if clusters is None:
+        return out
+    at = ["component", "cluster"]
+    big = member.where(F.col("n") > family_block).join(clusters.hint("merge"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    size = big.groupBy(*at).agg(F.count("*").alias("m"))
+    large = size.where(F.col("m") > family_block)
+    # blocks of a family: (name, number) of each large cluster and of the rest, which has no name
+    named = large.select("component", F.col("cluster").cast("string").alias("name"), "m")
+    rest = size.where(F.col("m") <= family_block).groupBy("component").agg(F.sum("m").alias("m")).select("component", F.lit(None).cast("string").alias("name"), "m")
+    groups = named.unionByName(rest).withColumn("blocks", F.ceil(F.col("m") / family_block).cast("int"))
+    each = groups.select("component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct("name", k.alias("k")))).alias("t"))
+    directory = each.groupBy("component").agg(F.collect_list("t").alias("directory"))
+    own = big.join(large.select(*at, F.lit(True).alias("own")).hint("merge"), at, "left")
+    own = own.withColumn("name", F.when(F.col("own"), F.col("cluster").cast("string")))
+    own = own.join(groups.select("component", F.col("name").alias("g_name"), "blocks").hint("merge"), (own["component"] == groups["component"]) & own["name"].eqNullSafe(F.col("g_name"))).drop(groups["component"])
+    own = own.join(directory.hint("merge"), "component")
+    label = lambda name, k: F.concat(F.coalesce(name, F.lit("-")), F.lit(":"), k.cast("string"))
+    mine = label(F.col("name"), F.pmod(F.xxhash64("id", "d1"), F.col("blocks")))
+    met = F.filter("directory", lambda t: t["name"].isNull() | F.col("name").isNull() | (t["name"] != F.col("name")))
+    pairs = F.transform(met, lambda t: F.struct(F.least(F.col("mine"), label(t["name"], t["k"])).alias("i"), F.greatest(F.col("mine"), label(t["name"], t["k"])).alias("j")))
+    return out.unionByName(own.withColumn("mine", mine).withColumn("pairs", pairs).select(*out.columns))
 
 
 def _digests(x: np.ndarray) -> list[int]:
@@ -332,7 +381,7 @@ def heavy_links(docs: DataFrame, place: DataFrame, n: int, percent: int) -> Data
     Texts travel, not their sets: a set's hashes take more room and do not compress.
     """
     # the comparison, always true, tells Spark that a Bloom filter of these few ids pays on the texts
-    texts = docs.join(place.where("blocks >= 1").drop("blocks").hint("merge"), "id")
+    texts = docs.join(place.where("n > 1").drop("n").hint("merge"), "id")
     filed = texts.select("component", F.explode("pairs").alias("p"), "id", "d1", "d2", "text")
     filed = filed.select("component", "p.i", "p.j", "id", "d1", "d2", "text").repartition("component", "i", "j")
     filed = filed.sortWithinPartitions("component", "i", "j", "id", "d1", "d2")
@@ -386,17 +435,27 @@ def similar_documents(
     sizes = work.store("sizes", found.select("id", "n", "d1", "d2"))
     work.drop("signatures")
     families = work.store("families", components(list_pairs(chains)))
-    work.drop("chains")
-    place = work.store("places", places(classes, families, family_block))
+    member = work.store("members", members(classes, families))
     work.drop("families")
+    source = pick(docs, id=id_col, text=text_col)
+    big, clusters, verified = member.where(F.col("n") > family_block).select(F.col("id").alias("a")).distinct(), None, None
+    if not big.isEmpty():
+        # what a list's neighbours prove spares large families most of their pairs
+        edges = list_pairs(chains).distinct().join(big.hint("merge"), "a")
+        verified = work.store("verified", verified_links(source, edges, n, percent, work))
+        clusters = work.store("clusters", components(verified).select("id", F.col("component").alias("cluster")))
+    work.drop("chains", "edge-texts")
+    place = work.store("places", places(member, clusters, family_block))
+    work.drop("members", "clusters")
     # copies of a class hang in its family; one of them stands for all
     with runtime_filters(docs.sparkSession):
-        heavy = work.store("heavy", heavy_links(pick(docs, id=id_col, text=text_col), place, n, percent))
+        heavy = work.store("heavy", heavy_links(source, place, n, percent))
     # copies are joined through their class, however they were linked
     copies = sizes.where("n > 0 and id is not null").join(classes.hint("merge"), ["n", "d1", "d2"]).where("id != rep")
-    linked = heavy.unionByName(light).unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    linked = heavy.unionByName(light) if verified is None else heavy.unionByName(light).unionByName(verified)
+    linked = linked.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     reached = components(linked)
-    work.drop("classes", "places", "heavy", "light")
+    work.drop("classes", "places", "heavy", "light", "verified")
     return sizes.select("id", "n").join(reached.hint("merge"), "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
