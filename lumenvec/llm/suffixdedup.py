@@ -16,7 +16,7 @@ with one minimiser form a stretch, and equal windows meet under its hash.
    bytes, one copy each, to the index of that minimiser.
 
 The index is a family of suffix arrays.  Each arriving batch gets a suffix
-array (prefix doubling on its bytes), is merge-scanned against the existing
+array (prefix tripling on its bytes), is merge-scanned against the existing
 levels for matches of the whole length, marking both sides, and becomes a
 level; a level that is no more than twice the next one merges with it, so
 levels grow geometrically.  Matches are matches of bytes, not of hashes.  A
@@ -47,9 +47,9 @@ LENGTH = 400
 #: Shorter repeats are not removed, only counted (``n_repeated``).
 REPORT_LENGTH = 216
 GRAM = 32
-HOT_CONTENTS = 4_000
-#: Bytes that get one suffix array, about; positions have to fit in 20 bits.
-BATCH_BYTES = 1 << 18
+HOT_CONTENTS = 2_000
+#: Bytes that get one suffix array, about; positions and ranks have to fit in 16 bits.
+BATCH_BYTES = 60_000
 _MIX = np.uint64(0x94D049BB133111EB)
 
 class Rolling:
@@ -118,49 +118,48 @@ def stretches(raw: bytes, length: int = REPORT_LENGTH, gram: int = GRAM) -> tupl
     return least[first], first, np.concatenate([first[1:] - 1, [len(least) - 1]])
 
 
-def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
-    """Dense ranks of keys of at most 64 - bits bits, by one sort of (key, position)."""
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1 of keys of 48 bits, by one sort of (key, position)."""
     n = len(key)
-    packed = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
-    place = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-    packed >>= np.uint64(bits)
+    packed = np.sort(key << np.uint64(16) | np.arange(n, dtype=np.uint64))
+    place = (packed & np.uint64(0xFFFF)).astype(np.int64)
+    packed >>= np.uint64(16)
     out = np.empty(n, np.uint64)
-    out[place] = np.concatenate([[0], np.cumsum(packed[1:] != packed[:-1])]).astype(np.uint64)
+    out[place] = np.concatenate([[1], np.cumsum(packed[1:] != packed[:-1]) + 1]).astype(np.uint64)
     return out
 
 
 class SuffixRanks:
-    """Ranks of the suffixes of a text by their first bytes, by prefix doubling.
+    """Ranks of the suffixes of a text by their first bytes, by prefix tripling.
 
     After ``deepen`` to d, suffixes compare by their first d bytes; what reaches
-    beyond the text compares as if zero bytes followed.
+    beyond the text compares as if it were less than any byte.
     """
 
-    FIRST = 5  # bytes that fit beside a position
+    FIRST = 6  # bytes that fit beside a position of 16 bits
 
     def __init__(self, text: np.ndarray):
-        self.bits = max(1, len(text) - 1).bit_length()
-        if self.bits > 20:
+        if not 0 < len(text) < 1 << 16:
             raise ValueError("a batch has too many bytes")
         padded = np.concatenate([text, np.zeros(self.FIRST, np.uint8)]).astype(np.uint64)
         key = np.zeros(len(text), np.uint64)
         for k in range(self.FIRST):
             key = key << np.uint64(8) | padded[k : k + len(text)]
-        self.depth, self.rank = self.FIRST, _ranks(key, self.bits)
+        self.depth, self.rank = self.FIRST, _ranks(key)
 
-    def _paired(self, step: int) -> np.ndarray:
-        """The rank and the rank ``step`` on, in one number."""
-        then = np.zeros(len(self.rank), np.uint64)
-        then[: max(0, len(then) - step)] = self.rank[step:] + np.uint64(1)
-        return self.rank << np.uint64(self.bits + 1) | then
+    def _later(self, step: int) -> np.ndarray:
+        """The rank ``step`` on, 0 beyond the text."""
+        out = np.zeros(len(self.rank), np.uint64)
+        out[: max(0, len(out) - step)] = self.rank[step:]
+        return out
 
     def deepen(self, depth: int) -> None:
         while self.depth < depth:
-            step = min(self.depth, depth - self.depth)
-            key = self._paired(step)
-            if 3 * self.bits + 1 > 64:
-                raise ValueError("a batch has too many bytes")
-            self.rank, self.depth = _ranks(key, self.bits), self.depth + step
+            more = min(3 * self.depth, depth)
+            key = self.rank << np.uint64(16) | self._later(min(self.depth, more - self.depth))
+            if more > 2 * self.depth:  # three ranks: those in between overlap where less is asked for
+                key = key << np.uint64(16) | self._later(more - self.depth)
+            self.rank, self.depth = _ranks(key), more
 
 
 def _less(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -489,8 +488,8 @@ def dedup_substrings(
     n_repeated counts the bytes covered by strings of ``report_length`` bytes
     that also start elsewhere: what stays because its repeats are too short.
     """
-    if not gram < report_length <= length:
-        raise ValueError("gram < report_length <= length is asked for")
+    if not gram < report_length <= length or 2 * length + BATCH_BYTES >= 1 << 16:
+        raise ValueError("gram < report_length <= length is asked for, and length below 2,700")
     rows = _row_ids(docs, id_col, text_col)
     work = Scratch(docs.sparkSession, "suffixes")
     ranges = repeated_ranges(rows, length, report_length, gram, hot_contents, work)
