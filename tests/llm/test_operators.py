@@ -462,3 +462,17 @@ def test_scratch_scope_removes_what_operators_wrote(spark, corpus, tmp_path):
         assert ngramjoin.similar_documents(docs(spark, corpus)).count() == len(corpus)
         assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) != before
     assert set(os.listdir(shared_dir(spark).removeprefix("file://"))) == before
+
+
+def test_plain_words_are_cut_as_the_tokenizer_does():
+    """Every plain character alone, and every pair of kinds of them, against the unaltered tokenizer."""
+    from tokenizers import Tokenizer
+
+    own, fresh = packing.WordEncoder(packing.word_bpe_path()), Tokenizer.from_file(packing.word_bpe_path())
+    plain = [c for c in map(chr, range(33, 0x180)) if own._PLAIN.fullmatch(c)]
+    assert len(plain) > 200
+    some = [c for c in plain if c in "aZz09'\"-_.,!?~@#sStTrRvVmMlLdDeEÀßéÿĀİıŉſ"]
+    words_ = plain + [a + b for a in plain for b in some] + [a + "'" + b + c for a in "aZ9!" for b in "sStrvmld" for c in "aeltz' 1"]
+    got = own.encode(words_)
+    for word, ids, want in zip(words_, got, fresh.encode_batch(words_, add_special_tokens=False), strict=True):
+        assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == want.ids, word
