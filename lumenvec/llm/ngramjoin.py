@@ -12,14 +12,14 @@ then joins everything it holds to its least member: no pairs are formed.
 Heavy sets use inverted lists.  Lists of single shingles would be as long as
 the corpus is large, so a list's key is a block of shingles: with at most D
 differences allowed, D + 1 hash-dealt blocks leave one block equal.  A set is
-filed under its blocks, members of a list form a chain and so hang together in
-a candidate family, and within a family the exact overlaps are counted by scanning the inverted
+filed under its blocks, members of a list hang together in a candidate family,
+and within a family the exact overlaps are counted by scanning the inverted
 lists of the rarest shingles that a linked set has to share.  Families beyond
 ``family_block`` sets are scanned as pairs of blocks, so no task holds more
 than two blocks; only the links of a spanning forest leave a task.  Before
-that, the neighbours in their lists are verified one by one: sets that these
-links join already need not meet again, so a large group of near copies costs
-its neighbours and its stragglers, not all its pairs of blocks.
+that, each set is verified with the heads of its lists: sets that these links
+join already need not meet again, so a large group of near copies costs its
+heads and its stragglers, not all its pairs of blocks.
 
 The boundary is where enumerating costs more keys than list keys and their
 checks would.
@@ -208,43 +208,49 @@ def light_links(found: DataFrame) -> DataFrame:
     return keys.select("key", "a").join(proved.hint("merge"), "key").where("a != b").select("a", "b").distinct()
 
 
-def list_chains(found: DataFrame) -> DataFrame:
-    """(key, a, b): the members of each inverted list as a chain, one shuffle.
+def list_stars(found: DataFrame) -> DataFrame:
+    """(key, a, b): the members of each inverted list, each with the first one that its task has; one shuffle.
 
     The lists lie in ranges of (key, member), so a list that many sets share
-    spreads over as many tasks as it needs.  Within a task each member is
-    joined to the one before it.  The ends of a task's lists come with a null b
-    and their key: a list may go on in the next task.
+    spreads over as many tasks as it needs.  Stars, not chains: paths stay
+    short.  The ends of a task's lists come with a null b and their key: a list
+    may go on in the next task.
     """
     keys = found.where("heavy is not null").select(F.explode("heavy").alias("key"), F.col("id").alias("a"))
     dealt = keys.repartitionByRange("key", "a").sortWithinPartitions("key", "a")
 
     def run(batches):
-        last = None  # the last (key, member) of the batch before
+        first = last = None  # (key, member): of the list at hand, and of the row before
+        end = lambda row: pa.RecordBatch.from_arrays([*row, pa.nulls(1, row[1].type)], ["key", "a", "b"])
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             key, a = batch.column("key"), batch.column("a")
-            if last is None:
-                yield pa.RecordBatch.from_arrays([key.slice(0, 1), a.slice(0, 1), pa.nulls(1, a.type)], ["key", "a", "b"])
-                last = key.slice(0, 1), a.slice(0, 1)
-            keys, members = pa.concat_arrays([last[0], key]), pa.concat_arrays([last[1], a])
-            joined = pc.and_(pc.equal(keys[1:], keys[:-1]), pc.not_equal(members[1:], members[:-1]))
-            yield pa.RecordBatch.from_arrays([key, a, members[:-1]], ["key", "a", "b"]).filter(joined)
+            if first is None:
+                first = key.slice(0, 1), a.slice(0, 1)
+                yield end(first)
+            keys, members = pa.concat_arrays([first[0], key]), pa.concat_arrays([first[1], a])
+            k = keys.to_numpy()
+            # place of the first row of each row's list; row 0 stands for the list at hand
+            begins = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(n + 1), 0))
+            heads = members.take(pa.array(begins))
+            out = pa.RecordBatch.from_arrays([keys, members, heads], ["key", "a", "b"])
+            yield out.filter(pc.not_equal(members, heads))
+            first = keys.take(pa.array(begins[-1:])), heads.slice(n)
             last = key.slice(n - 1), a.slice(n - 1)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([*last, pa.nulls(1, last[1].type)], ["key", "a", "b"])
+            yield end(last)
 
     kind = found.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(run, f"key bigint, a {kind}, b {kind}")
 
 
-def list_pairs(chains: DataFrame) -> DataFrame:
-    """(a, b): the chains' members with those before them, and lists that go on in other tasks tied together."""
-    ends = chains.where("b is null").select("key", "a")  # two rows a task
+def list_pairs(stars: DataFrame) -> DataFrame:
+    """(a, b): the stars' members with their heads, and lists that go on in other tasks tied together."""
+    ends = stars.where("b is null").select("key", "a")  # two rows a task
     tied = ends.join(ends.groupBy("key").agg(F.min("a").alias("b")).hint("merge"), "key").select("a", "b")
-    return chains.where("b is not null").select("a", "b").unionByName(tied)
+    return stars.where("b is not null").select("a", "b").unionByName(tied)
 
 
 class Forest:
@@ -430,21 +436,21 @@ def similar_documents(
     found = work.store("signatures", signatures(docs, id_col, text_col, n, percent))
     named = found.where("n > 0 and id is not null")
     classes = work.store("classes", named.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")))
-    chains = work.store("chains", list_chains(named))
+    stars = work.store("stars", list_stars(named))
     light = work.store("light", light_links(named))
     sizes = work.store("sizes", found.select("id", "n", "d1", "d2"))
     work.drop("signatures")
-    families = work.store("families", components(list_pairs(chains)))
+    families = work.store("families", components(list_pairs(stars)))
     member = work.store("members", members(classes, families))
     work.drop("families")
     source = pick(docs, id=id_col, text=text_col)
     big, clusters, verified = member.where(F.col("n") > family_block).select(F.col("id").alias("a")).distinct(), None, None
     if not big.isEmpty():
-        # what a list's neighbours prove spares large families most of their pairs
-        edges = list_pairs(chains).distinct().join(big.hint("merge"), "a")
+        # what the heads of lists prove spares large families most of their pairs
+        edges = list_pairs(stars).distinct().join(big.hint("merge"), "a")
         verified = work.store("verified", verified_links(source, edges, n, percent, work))
         clusters = work.store("clusters", components(verified).select("id", F.col("component").alias("cluster")))
-    work.drop("chains", "edge-texts")
+    work.drop("stars", "edge-texts")
     place = work.store("places", places(member, clusters, family_block))
     work.drop("members", "clusters")
     # copies of a class hang in its family; one of them stands for all

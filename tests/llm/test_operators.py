@@ -404,7 +404,7 @@ def test_sets_of_one_id_are_told_apart(spark):
     assert sorted(r.doc_id for r in ngramjoin.keep_one(d, percent=80).collect()) == [1, 1, 4]
 
 
-def test_hot_lists_are_chained_across_tasks(spark):
+def test_hot_lists_are_tied_across_tasks(spark):
     rng = random.Random(22)
     base = words(rng, 60).split()
     texts = []
