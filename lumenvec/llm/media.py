@@ -185,21 +185,21 @@ def payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def store_media(media: DataFrame) -> DataFrame:
-    """(digest, blob): each distinct payload once, as PNG, written to the shared folder and read from there.
+    """(digest, blob): payloads as PNG, written to the shared folder and read from there.
 
-    Copies meet as compressed blobs and are folded on the map side first, so
-    that a hot payload is one row a task.
+    No shuffle: copies that a task meets together are stored once, others
+    again; what is computed from them folds by digest.
     """
 
     def rows(cols):
-        return {"digest": cols["digest"], "blob": [png_encode(p) for p in cols["payload"]]}
+        once = dict(zip(cols["digest"], cols["payload"], strict=True))
+        return {"digest": list(once), "blob": [png_encode(p) for p in once.values()]}
 
-    blobs = arrow_map(media, rows, "digest string, blob binary")
-    return Scratch(media.sparkSession, "media").store("blobs", blobs.groupBy("digest").agg(F.first("blob").alias("blob")))
+    return Scratch(media.sparkSession, "media").store("blobs", arrow_map(media, rows, "digest string, blob binary"))
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Features of stored media, computed from the bytes read back."""
+    """Features of stored media, computed from the bytes read back; a row per digest."""
 
     def rows(cols):
         out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
@@ -220,7 +220,7 @@ def media_features(stored: DataFrame) -> DataFrame:
         "digest string, payload_bytes bigint, payload_sha256 string, "
         "tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     )
-    return arrow_map(stored, rows, schema)
+    return arrow_map(stored, rows, schema).dropDuplicates(["digest"])
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
