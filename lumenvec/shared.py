@@ -69,6 +69,10 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: While a table is written: shuffle files go with the step, and Arrow batches are bounded by bytes, as rows may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 class Scratch:
     """The tables that an operator writes on its way, in the shared folder.
 
@@ -82,7 +86,7 @@ class Scratch:
         self.spark, self.path = spark, fresh_path(spark, name)
 
     def store(self, step: str, df: DataFrame) -> DataFrame:
-        with settings(self.spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        with settings(self.spark, WRITING):
             df.write.parquet(f"{self.path}/{step}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{step}")
 
