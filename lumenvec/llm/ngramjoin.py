@@ -49,7 +49,7 @@ from .components import components
 
 N_WORDS = 3
 THRESHOLD_PERCENT = 90
-FAMILY_BLOCK = 1000
+FAMILY_BLOCK = 2000
 #: Cost of a list key against an enumerated one: lists have to be checked.
 LIST_COST = 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
