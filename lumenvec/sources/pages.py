@@ -85,11 +85,18 @@ def without_pages(store: DataFrame, digests: DataFrame) -> tuple[DataFrame, Data
 def find_pages(pages: DataFrame, wanted: DataFrame, states: DataFrame) -> DataFrame:
     """Pages of (state_id, component_kind, position_start): by their place, among those that the state refers to.
 
-    states as (state_id, digest); of several the least digest.
+    states as (state_id, digest); of several the least digest.  Each page goes to
+    the fewer of those that ask for its place and those that refer to it, and the
+    other side confirms: a state of many pages, a place that all ask for or a
+    page that all hold makes no pairs.
     """
-    of = wanted.join(states, "state_id").join(pages, "digest")
-    of = of.where((F.col("header.component_kind") == F.col("component_kind")) & (F.col("header.position_start") == F.col("position_start")))
-    return of.groupBy("state_id", "component_kind", "position_start").agg(F.min("digest").alias("digest"))
+    place = ["component_kind", "position_start"]
+    own = pages.select("digest", *[F.col(f"header.{c}").alias(c) for c in place]).distinct()
+    wanted, states = wanted.select("state_id", *place).distinct(), states.select("state_id", "digest").distinct()
+    met = own.join(wanted.groupBy(*place).agg(F.count("*").alias("asked")), place).join(states.groupBy("digest").agg(F.count("*").alias("held")), "digest")
+    by_place = met.where("asked <= held").select(*own.columns).join(wanted, place).join(states, ["state_id", "digest"], "left_semi")
+    by_page = met.where("asked > held").select(*own.columns).join(states, "digest").join(wanted, ["state_id", *place], "left_semi")
+    return by_place.unionByName(by_page).groupBy("state_id", *place).agg(F.min("digest").alias("digest"))
 
 
 def recover(spark: SparkSession, path: str) -> DataFrame:

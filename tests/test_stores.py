@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenvec.functions import wire
 from lumenvec.operators import kvpages, statestore, store
+from lumenvec.shared import settings
 from lumenvec.sources import pages, tables
 
 SHAPE = store.Shape(2, 2, 8)
@@ -122,6 +123,42 @@ def test_page_store(spark, tmp_path):
     assert stay.count() == 1 and {r.digest: r.deleted for r in gone.collect()} == {digest: True, "x": False}
 
 
+def test_found_pages_make_no_pairs_of_a_state(spark):
+    """Few states of many pages, places that all ask for and pages that all hold: rows of no join grow beyond the input."""
+    n = 2000
+    header = "named_struct('component_kind', 'page', 'position_start', {}) as header"
+    own = spark.range(n).selectExpr("concat('d', id) as digest", header.format("id"))  # states of many pages, a place each
+    first = spark.range(n).selectExpr("concat('e', id) as digest", header.format("-1L"))  # many at one place
+    hot = spark.range(1).selectExpr("'hot' as digest", header.format("-2L"))  # one that all hold
+    held = spark.range(n).selectExpr("id % 3 as state_id", "concat('d', id) as digest").unionByName(spark.range(n).selectExpr("id as state_id", "concat('e', id) as digest"))
+    held = held.unionByName(spark.range(n).selectExpr("id as state_id", "'hot' as digest"))
+    asked = spark.range(n).selectExpr("id % 3 as state_id", "'page' as component_kind", "id as position_start")
+    for at in (-1, -2):
+        asked = asked.unionByName(spark.range(n).selectExpr("id as state_id", "'page' as component_kind", f"{at}L as position_start"))
+    found = pages.find_pages(own.unionByName(first).unionByName(hot), asked.unionByName(asked), held)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        got = found.collect()
+        want = {(i % 3, i): f"d{i}" for i in range(n)} | {(i, -1): f"e{i}" for i in range(n)} | {(i, -2): "hot" for i in range(n)}
+        assert len(got) == 3 * n and {(r.state_id, r.position_start): r.digest for r in got} == want
+        assert most_rows(found) <= 4 * n
+
+
+def most_rows(df):
+    """The most rows that one node of the executed plan gave out."""
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
 def test_scan_pages(spark, tmp_path):
     import hashlib
 
