@@ -138,8 +138,8 @@ def standby_resume(spark, sf_dir):
 
 @plans.add("WITH e AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS at_s FROM events), s AS (SELECT *, (at_s - min(at_s) OVER (PARTITION BY user_id)) // 86400 AS slot FROM e) SELECT user_id AS scope, event_id AS event, row_number() OVER (PARTITION BY user_id, slot ORDER BY at_s, event_id) = 1 AS taken FROM s")
 def snapshot_schedule(spark, sf_dir):
-    """A snapshot a day of each user's own clock."""
-    at = C("ts").cast("timestamp").cast("bigint")
+    """A snapshot a day of each user's own clock, in seconds; a fraction goes to the nearest second, as in SQL, halves to the even one."""
+    at = F.rint(F.unix_micros(C("ts").cast("timestamp")) / 1_000_000).cast("bigint")
     return statestore.due(T(spark, sf_dir, "events").select(C("user_id").alias("scope"), at.alias("at"), C("event_id").alias("event")), 86_400)
 
 
