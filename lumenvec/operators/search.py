@@ -17,8 +17,8 @@ from ..arrow import matrix, slices
 
 #: Rows of a part, at most about; and, of a small table, at least about.
 PART_ROWS, LEAST_ROWS = 65_536, 4_096
-#: Queries that are multiplied with a part at once.
-BLOCK = 1024
+#: Queries that are multiplied with a part at once, at most; and the scores that this makes, at most about (32 MB, a few of them at a time).
+BLOCK, SCORES = 1024, 1 << 22
 #: Parts whose results are ranked together.
 FAN = 1024
 
@@ -28,6 +28,11 @@ def part_count(rows: int, cores: int) -> int:
     return max(1, -(-rows // PART_ROWS), min(cores, -(-rows // LEAST_ROWS)))
 
 
+def block_rows(rows: int, block: int = BLOCK) -> int:
+    """Queries of a block against so many rows: their scores stay bounded."""
+    return max(1, min(block, SCORES // max(1, rows)))
+
+
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     s = q @ x.T
     if metric == "cosine":
@@ -47,6 +52,35 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-s, axis=1, kind="stable")[:, :k]
 
 
+def _visit(batches, k: int, metric: str, block: int):
+    """A task's batches, ordered by part, rows before queries: (part, q, id, score) of the k best rows of a part for each query."""
+    part, held, ids, x = -1, [], None, None
+    for batch in slices(batches):
+        parts_, sides = batch.column("part").to_numpy(), batch.column("side").to_numpy()
+        change = np.flatnonzero((np.diff(parts_) != 0) | (np.diff(sides) != 0)) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), len(sides)], strict=True):
+            piece = batch.slice(a, b - a)
+            if parts_[a] != part:
+                part, held, ids, x = parts_[a], [], None, None
+            if sides[a] == 0:
+                held.append(piece)
+                continue
+            if not held and ids is None:  # no rows in this part
+                continue
+            if ids is None:
+                ids = np.concatenate([h.column("id").to_numpy() for h in held])
+                x, held = np.concatenate([matrix(h.column("x")) for h in held]), []
+            step = block_rows(len(ids), block)
+            for at in range(0, b - a, step):
+                some = piece.slice(at, step)
+                s = _scores(matrix(some.column("x")), x, metric)
+                best = _best(s, ids, min(k, len(ids)))
+                q = np.repeat(some.column("id").to_numpy(), best.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(q), part, np.int32)), pa.array(q), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())], ["part", "q", "id", "score"]
+                )
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(q, id, score, rank): rank from 0 by score, then id; score is minus the distance for l2.
 
@@ -60,33 +94,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", blo
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "id", F.col("x").cast("array<double>").alias("x"))
     dealt = own.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "side", "id")
 
-    def run(batches):
-        part, held, ids, x = -1, [], None, None
-        for batch in slices(batches):
-            parts_, sides = batch.column("part").to_numpy(), batch.column("side").to_numpy()
-            change = np.flatnonzero((np.diff(parts_) != 0) | (np.diff(sides) != 0)) + 1
-            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(sides)], strict=True):
-                piece = batch.slice(a, b - a)
-                if parts_[a] != part:
-                    part, held, ids, x = parts_[a], [], None, None
-                if sides[a] == 0:
-                    held.append(piece)
-                    continue
-                if not held and ids is None:  # no rows in this part
-                    continue
-                if ids is None:
-                    ids = np.concatenate([h.column("id").to_numpy() for h in held])
-                    x, held = np.concatenate([matrix(h.column("x")) for h in held]), []
-                for at in range(0, b - a, block):
-                    some = piece.slice(at, block)
-                    s = _scores(matrix(some.column("x")), x, metric)
-                    best = _best(s, ids, min(k, len(ids)))
-                    q = np.repeat(some.column("id").to_numpy(), best.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(q), part, np.int32)), pa.array(q), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())], ["part", "q", "id", "score"]
-                    )
-
-    found = dealt.mapInArrow(run, "part int, q bigint, id bigint, score double")
+    found = dealt.mapInArrow(lambda batches: _visit(batches, k, metric, block), "part int, q bigint, id bigint, score double")
     ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")) - 1).where(F.col("rank") < k)
     if parts > FAN:
         found = ranked(found.withColumn("fan", F.floor(F.col("part") / FAN)), "q", "fan").drop("rank")

@@ -1,12 +1,15 @@
 """Binary forms, codecs, codebook laws: damage, round trips, brute force."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lumenvec.arrow import lists
 from lumenvec.functions import codecs, quantize, registry, wire
 from lumenvec.operators import codes, kvcache, lloyd, search
 
@@ -183,3 +186,18 @@ def test_code_tables(spark):
     want = q.score(x[2], radii, angles, signs)
     assert np.allclose([a[i] @ b[2] for i in range(9)], want)
     assert np.allclose(q.distance(x[2], radii, angles, signs) ** 2, np.maximum(0, x[2] @ x[2] + (radii**2).sum(1) - 2 * want))
+
+
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+def test_search_of_a_whole_part_is_bounded(metric):
+    """A part of 65,536 rows and 1,024 queries in one batch: what a task holds stays near the rows themselves."""
+    n, x = search.PART_ROWS, RNG.standard_normal((search.PART_ROWS, 32))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), lists(x)], ["part", "side", "id", "x"])
+    asked = pa.RecordBatch.from_arrays([pa.array(np.zeros(1024, np.int32)), pa.array(np.ones(1024, np.int32)), pa.array(np.arange(1024)), lists(x[:1024])], ["part", "side", "id", "x"])
+    tracemalloc.start()
+    got = pa.Table.from_batches(search._visit(iter([rows, asked]), 3, metric, search.BLOCK))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 3 * 1024 and peak < 300e6
+    s = search._scores(x[1000:1001], x, metric)[0]
+    assert got.column("id").to_pylist()[3000:3003] == np.lexsort((np.arange(n), -s))[:3].tolist()
