@@ -15,13 +15,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import Scratch
+from ..shared import Scratch, deal
 
 
 def checked_parents(states: DataFrame) -> DataFrame:
     """A parent counts only if it exists."""
-    known = states.select(F.col("id").alias("parent")).distinct().withColumn("known", F.lit(True))
-    joined = states.join(known, "parent", "left")
+    rows = states.count()
+    known = deal(states.select(F.col("id").alias("parent")), rows, "parent").distinct().withColumn("known", F.lit(True))
+    joined = deal(states, rows, "parent").join(known, "parent", "left")
     return joined.select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "released")
 
 
@@ -110,11 +111,12 @@ def reachable(states: DataFrame) -> DataFrame:
     return now.where("live").select("id")
 
 
-def collectable(states: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page) of unreachable states only; pages as (id, page)."""
+def collectable(states: DataFrame, pages: DataFrame, rows: int | None = None) -> DataFrame:
+    """(page) of unreachable states only; pages as (id, page), rows about their number, as for delta."""
+    rows = pages.count() if rows is None else rows
     live = reachable(states).withColumn("live", F.lit(True))
-    held = pages.join(states.select("id").distinct(), "id", "left_semi").join(live, "id", "left")
-    return held.groupBy("page").agg(F.max("live").alias("live")).where("live is null").select("page")
+    held = deal(pages, rows, "id").join(states.select("id").distinct(), "id", "left_semi").join(live, "id", "left")
+    return deal(held, rows, "page").groupBy("page").agg(F.max("live").alias("live")).where("live is null").select("page")
 
 
 def replayed(states: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -134,27 +136,37 @@ def replayed(states: DataFrame, sessions: DataFrame) -> DataFrame:
     return now
 
 
-def similarity(states: DataFrame, pages: DataFrame, tolerance: float) -> DataFrame:
-    """(id, parent, difference, reusable) of each state and its parent by their page sets."""
-    edges = states.where("parent is not null").select("id", "parent")
+def similarity(states: DataFrame, pages: DataFrame, tolerance: float, rows: int | None = None) -> DataFrame:
+    """(id, parent, difference, reusable) of each state and its parent by their page sets.
+
+    rows is about the number of pages, as for delta.
+    """
+    rows = pages.count() if rows is None else rows
+    pages = deal(pages, rows, "id")
+    edges = deal(states.where("parent is not null").select("id", "parent"), rows, "id")
     size = pages.groupBy("id").agg(F.count("*").alias("n"))
-    own = edges.join(pages, "id")
-    old = pages.select(F.col("id").alias("parent"), "page", F.lit(1).alias("hit"))
-    common = own.join(old, ["parent", "page"], "left").groupBy("id", "parent").agg(F.count("hit").alias("common"))
-    sized = common.join(size, "id").join(size.select(F.col("id").alias("parent"), F.col("n").alias("m")), "parent")
+    own = deal(edges.join(pages, "id"), rows, "parent", "page")
+    old = deal(pages.select(F.col("id").alias("parent"), "page", F.lit(1).alias("hit")), rows, "parent", "page")
+    common = deal(own.join(old, ["parent", "page"], "left"), rows, "id").groupBy("id", "parent").agg(F.count("hit").alias("common"))
+    sized = deal(common.join(size, "id"), rows, "parent").join(size.select(F.col("id").alias("parent"), F.col("n").alias("m")), "parent")
     most = F.greatest("n", "m")
     gap = (most - F.col("common")) / most
     return sized.select("id", "parent", F.round(gap, 6).alias("difference"), (gap <= tolerance).alias("reusable"))
 
 
-def delta(edges: DataFrame, pages: DataFrame) -> DataFrame:
+def delta(edges: DataFrame, pages: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, page, change) between a state and its parent: pages added, and pages removed; one aggregate tells the sides apart.
 
-    edges as (id, parent), each once; pages as (id, page), each once.
+    edges as (id, parent), each once; pages as (id, page), each once.  rows is
+    about the number of pages where the caller knows it; they are counted else.
+    Tasks are dealt by it: a state has one parent, so both sides together have
+    about twice as many rows.
     """
-    own = edges.join(pages, "id").select("id", "page", F.lit(1).alias("side"))
-    old = edges.join(pages.withColumnRenamed("id", "parent"), "parent").select("id", "page", F.lit(2).alias("side"))
-    sides = own.unionByName(old).groupBy("id", "page").agg(F.sum("side").alias("side")).where("side != 3")
+    rows = pages.count() if rows is None else rows
+    pages = deal(pages, rows, "id")
+    own = deal(edges, rows, "id").join(pages, "id").select("id", "page", F.lit(1).alias("side"))
+    old = deal(edges, rows, "parent").join(pages.withColumnRenamed("id", "parent"), "parent").select("id", "page", F.lit(2).alias("side"))
+    sides = deal(own.unionByName(old), 2 * rows, "id", "page").groupBy("id", "page").agg(F.sum("side").alias("side")).where("side != 3")
     return sides.select("id", "page", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change"))
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import deal
+
 # Bits of the rights.
 INSPECT, MATERIALIZE, FORK, APPEND, RELEASE = 1, 2, 4, 8, 16
 LEASE_PREFIX, STATE_PREFIX = "lease-v1:", "hybrid-state-v1:"
@@ -144,12 +146,13 @@ def fork_opportunities(pairs: DataFrame, manifests: DataFrame, pages: DataFrame,
     """
     side = lambda new: manifests.select(F.col("id").alias(new), F.struct(*identity).alias(f"{new}_is"))
     met = pairs.select("requested", "existing").distinct().join(side("requested"), "requested").join(side("existing"), "existing")
-    pages = pages.select("id", "page").distinct()
+    rows = pages.count()
+    pages = deal(pages.select("id", "page"), rows, "id").distinct()
     size = pages.groupBy("id").agg(F.count("*").alias("n"))
     of = lambda new, n: size.select(F.col("id").alias(new), F.col("n").alias(n))
     met = met.join(of("requested", "a"), "requested", "left").join(of("existing", "b"), "existing", "left")
-    own = met.select("requested", "existing").join(pages.withColumnRenamed("id", "requested"), "requested")
-    common = own.join(pages.withColumnRenamed("id", "existing"), ["existing", "page"]).groupBy("requested", "existing").agg(F.count("*").alias("common"))
+    own = deal(met.select("requested", "existing"), rows, "requested").join(pages.withColumnRenamed("id", "requested"), "requested")
+    common = deal(own, rows, "existing", "page").join(deal(pages.withColumnRenamed("id", "existing"), rows, "existing", "page"), ["existing", "page"]).groupBy("requested", "existing").agg(F.count("*").alias("common"))
     met = met.join(common, ["requested", "existing"], "left").na.fill(0, ["a", "b", "common"])
     most = F.greatest("a", "b")
     gap = F.coalesce(F.try_divide(most - F.col("common"), most), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..shared import deal
 from ..sources.tables import table
 from .common import Plans
 
@@ -101,8 +102,9 @@ def gc_reachable(spark, sf_dir):
 @plans.add(f"WITH RECURSIVE {_ST}, live AS (SELECT id FROM own WHERE NOT released UNION SELECT own.id FROM live JOIN own ON own.parent = live.id), pg AS (SELECT DISTINCT l_orderkey AS id, l_partkey * 100000 + l_suppkey AS page FROM lineitem) SELECT DISTINCT page FROM pg WHERE id IN (SELECT id FROM own) AND id NOT IN (SELECT id FROM live) AND page NOT IN (SELECT page FROM pg JOIN live USING (id))")
 def gc_collect(spark, sf_dir):
     """Pages of unreachable states that no reachable state refers to."""
-    pages = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("page")).distinct()
-    return state.collectable(states(spark, sf_dir), pages)
+    pages = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("page"))
+    rows = pages.count()
+    return state.collectable(states(spark, sf_dir), deal(pages, rows, "id").distinct(), rows)
 
 
 @plans.add(f"WITH RECURSIVE {_ST}, up AS (SELECT id AS sess, id AS anc, 0 AS depth FROM own WHERE id % 4 = 1 UNION ALL SELECT sess, own.parent, depth + 1 FROM up JOIN own ON own.id = up.anc WHERE own.parent IS NOT NULL) SELECT anc AS id, min(sess) AS first_session, CAST(max(depth) AS BIGINT) AS deepest FROM up GROUP BY anc")
@@ -117,19 +119,23 @@ _PARTS = "pg AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 50 AS page FROM l
 
 @plans.add(f"WITH {_ST}, {_PARTS}, cm AS (SELECT own.id, own.parent, count(b.page) AS common FROM own JOIN pg a ON a.id = own.id LEFT JOIN pg b ON b.id = own.parent AND b.page = a.page WHERE parent IS NOT NULL GROUP BY own.id, own.parent) SELECT cm.id, cm.parent, round((greatest(x.n, y.n) - common) / greatest(x.n, y.n), 6) AS difference, (greatest(x.n, y.n) - common) / greatest(x.n, y.n) <= 0.8 AS reusable FROM cm JOIN sz x ON x.id = cm.id JOIN sz y ON y.id = cm.parent")
 def fork_similarity(spark, sf_dir):
-    return state.similarity(states(spark, sf_dir), _pages(spark, sf_dir), 0.8)
+    pages, rows = _pages(spark, sf_dir)
+    return state.similarity(states(spark, sf_dir), pages, 0.8, rows)
 
 
 def _pages(spark, sf_dir):
-    return T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("page")).distinct()
+    """(id, page), each once, and how many rows there are at most; dealt by id."""
+    p = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("page"))
+    rows = p.count()
+    return deal(p, rows, "id").distinct(), rows
 
 
 @plans.add(f"WITH {_ST}, {_PARTS}, e AS (SELECT own.id, own.parent FROM own WHERE parent IS NOT NULL AND parent IN (SELECT id FROM pg)), a AS (SELECT e.id, pg.page, 'added' AS change FROM e JOIN pg ON pg.id = e.id WHERE NOT EXISTS (SELECT 1 FROM pg p WHERE p.id = e.parent AND p.page = pg.page) UNION ALL SELECT e.id, pg.page, 'removed' FROM e JOIN pg ON pg.id = e.parent WHERE NOT EXISTS (SELECT 1 FROM pg p WHERE p.id = e.id AND p.page = pg.page)) SELECT * FROM a")
 def state_delta(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages, rows = _pages(spark, sf_dir)
     edges = states(spark, sf_dir).where("parent is not null").select("id", "parent")
-    edges = edges.join(pages.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
-    return state.delta(edges, pages)
+    edges = deal(edges, rows, "parent").join(pages.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    return state.delta(edges, pages, rows)
 
 
 # ---------------------------------------------------------------- policies and leases

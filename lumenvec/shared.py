@@ -73,6 +73,15 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+#: Rows of a task that sorts or folds rows of a few numbers, at about 100 bytes each and step.
+TASK_ROWS = 500_000
+
+
+def deal(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys in as many tasks as so many rows take: tasks do not grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 class Scratch:
     """The tables that an operator writes on its way, in the shared folder.
 

@@ -1,9 +1,11 @@
 """State graphs against plain Python: deep chains, forests, cycles, empty tables."""
 
 import random
+import re
 
 import pytest
 
+from lumenvec import shared
 from lumenvec.operators import state
 
 SCHEMA = "id bigint, parent bigint, released boolean"
@@ -74,3 +76,19 @@ def test_cycles_and_empty_tables(spark):
     none = graph(spark, [])
     assert state.ancestors(none).count() == state.reachable(none).count() == state.first_children(none).count() == 0
     assert state.replayed(none, none.select("id")).count() == 0
+
+
+def test_tasks_of_deltas_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 500, raising=False)
+    n = 4000
+    own = {i: {i % 7, i % 11 + 1, i % 13 + 2} for i in range(n)}
+    pages = spark.createDataFrame([(i, p) for i, ps in own.items() for p in ps], "id bigint, page bigint")
+    edges = spark.createDataFrame([(i, i // 4) for i in range(4, n)], "id bigint, parent bigint")
+    found = state.delta(edges, pages)
+    want = {(i, p, "added") for i in range(4, n) for p in own[i] - own[i // 4]} | {(i, p, "removed") for i in range(4, n) for p in own[i // 4] - own[i]}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    graph_ = edges.selectExpr("id", "parent", "true as released")
+    for df in (found, state.similarity(graph_, pages, 0.8), state.collectable(graph_, pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert len(dealt) >= 3 and min(dealt) >= 20, dealt
