@@ -89,6 +89,6 @@ def test_tasks_of_deltas_do_not_grow_with_the_table(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     graph_ = edges.selectExpr("id", "parent", "true as released")
     for df in (found, state.similarity(graph_, pages, 0.8), state.collectable(graph_, pages)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)]
-        assert len(dealt) >= 3 and min(dealt) >= 20, dealt
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[[^]]*\], (\d+)", plan)]
+        assert len(dealt) >= 2 and min(dealt) >= 20, plan
