@@ -16,7 +16,8 @@ with one minimiser form a stretch, and equal windows meet under its hash.
    bytes, one copy each, to the index of that minimiser.
 
 The index is a family of suffix arrays.  Each arriving batch gets a suffix
-array (prefix tripling on its bytes), is merge-scanned against the existing
+array (prefix tripling on its bytes; the contents of one minimiser are one
+batch, up to KEY_BYTES), is merge-scanned against the existing
 levels for matches of the whole length, marking both sides, and becomes a
 level; a level that is no more than twice the next one merges with it, so
 levels grow geometrically.  Matches are matches of bytes, not of hashes.  A
@@ -37,6 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +50,10 @@ LENGTH = 400
 REPORT_LENGTH = 216
 GRAM = 32
 HOT_CONTENTS = 2_000
-#: Bytes that get one suffix array, about; positions and ranks have to fit in 16 bits.
+#: Bytes of several minimisers that get one suffix array, about; positions and ranks then fit in 16 bits.
 BATCH_BYTES = 60_000
+#: Bytes of one minimiser that get one suffix array, about; positions and ranks then fit in 21 bits.
+KEY_BYTES = 1_600_000
 _MIX = np.uint64(0x94D049BB133111EB)
 
 class Rolling:
@@ -118,34 +122,34 @@ def stretches(raw: bytes, length: int = REPORT_LENGTH, gram: int = GRAM) -> tupl
     return least[first], first, np.concatenate([first[1:] - 1, [len(least) - 1]])
 
 
-def _ranks(key: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1 of keys of 48 bits, by one sort of (key, position)."""
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """Dense ranks from 1 of keys of 64 - bits bits, by one sort of (key, position)."""
     n = len(key)
-    packed = np.sort(key << np.uint64(16) | np.arange(n, dtype=np.uint64))
-    place = (packed & np.uint64(0xFFFF)).astype(np.int64)
-    packed >>= np.uint64(16)
+    packed = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    place = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    packed >>= np.uint64(bits)
     out = np.empty(n, np.uint64)
     out[place] = np.concatenate([[1], np.cumsum(packed[1:] != packed[:-1]) + 1]).astype(np.uint64)
     return out
 
 
 class SuffixRanks:
-    """Ranks of the suffixes of a text by their first bytes, by prefix tripling.
+    """Ranks of the suffixes of a text by their first bytes, by prefix tripling, or doubling where ranks need over 16 bits.
 
     After ``deepen`` to d, suffixes compare by their first d bytes; what reaches
     beyond the text compares as if it were less than any byte.
     """
 
-    FIRST = 6  # bytes that fit beside a position of 16 bits
-
     def __init__(self, text: np.ndarray):
-        if not 0 < len(text) < 1 << 16:
+        if not 0 < len(text) < 1 << 21:
             raise ValueError("a batch has too many bytes")
-        padded = np.concatenate([text, np.zeros(self.FIRST, np.uint8)]).astype(np.uint64)
+        self.bits = 16 if len(text) < 1 << 16 else 21
+        first = (64 - self.bits) // 8  # bytes that fit beside a position
+        padded = np.concatenate([text, np.zeros(first, np.uint8)]).astype(np.uint64)
         key = np.zeros(len(text), np.uint64)
-        for k in range(self.FIRST):
+        for k in range(first):
             key = key << np.uint64(8) | padded[k : k + len(text)]
-        self.depth, self.rank = self.FIRST, _ranks(key)
+        self.depth, self.rank = first, _ranks(key, self.bits)
 
     def _later(self, step: int) -> np.ndarray:
         """The rank ``step`` on, 0 beyond the text."""
@@ -155,11 +159,11 @@ class SuffixRanks:
 
     def deepen(self, depth: int) -> None:
         while self.depth < depth:
-            more = min(3 * self.depth, depth)
-            key = self.rank << np.uint64(16) | self._later(min(self.depth, more - self.depth))
+            more = min((64 // self.bits - 1) * self.depth, depth)
+            key = self.rank << np.uint64(self.bits) | self._later(min(self.depth, more - self.depth))
             if more > 2 * self.depth:  # three ranks: those in between overlap where less is asked for
-                key = key << np.uint64(16) | self._later(more - self.depth)
-            self.rank, self.depth = _ranks(key), more
+                key = key << np.uint64(self.bits) | self._later(more - self.depth)
+            self.rank, self.depth = _ranks(key, self.bits), more
 
 
 def _less(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,6 +333,45 @@ def _batches(keys: np.ndarray, sizes: np.ndarray):
         yield first, len(sizes)
 
 
+def _whole_keys(batches):
+    """(keys, bytes, r1, r2, lo, hi, single) of rows ordered by key: runs of whole keys of about BATCH_BYTES.
+
+    A key with more bytes is a run of its own, and beyond KEY_BYTES several: one
+    suffix array of a key costs a fraction of merging many.
+    """
+
+    def rows(pieces):
+        table = pa.Table.from_batches([batch.slice(a, b - a) for batch, a, b in pieces]).combine_chunks()
+        keys, *rest = (table.column(c).to_numpy() for c in ("key", "r1", "r2", "lo", "hi", "single"))
+        return keys, table.column("raw").to_pylist(), *rest
+
+    whole, now, n_whole, n_now, key = [], [], 0, 0, None  # keys that ended, and the one that may go on
+    for batch in slices(batches):
+        keys = batch.column("key").to_numpy()
+        sizes = pc.binary_length(batch.column("raw")).to_numpy()
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        part = total[:-1] // (KEY_BYTES // 8)  # pieces of a key stay below KEY_BYTES too
+        edges = np.flatnonzero((keys[1:] != keys[:-1]) | (part[1:] != part[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+            if keys[a] != key:
+                if whole and n_whole + n_now > BATCH_BYTES:
+                    yield rows(whole)
+                    whole, n_whole = [], 0
+                whole, n_whole = whole + now, n_whole + n_now
+                now, n_now, key = [], 0, keys[a]
+            elif n_now > KEY_BYTES:
+                if whole:
+                    yield rows(whole)
+                    whole, n_whole = [], 0
+                yield rows(now)
+                now, n_now = [], 0
+            now.append((batch, a, b))
+            n_now += int(total[b] - total[a])
+    for pieces in (whole, now):
+        if pieces:
+            yield rows(pieces)
+
+
 class _Shard:
     """The contents at hand, in families for both lengths, until their minimiser ends."""
 
@@ -380,20 +423,17 @@ def indexed_ranges(cut: DataFrame, length: int, report_length: int) -> DataFrame
 
     def run(batches):
         shard, key = _Shard((report_length, length)), None
-        for batch in slices(batches):
-            keys, r1, r2, lo, hi = (batch.column(c).to_numpy() for c in ("key", "r1", "r2", "lo", "hi"))
-            single, raws = batch.column("single").to_numpy(zero_copy_only=False), batch.column("raw").to_pylist()
-            for a, b in _batches(keys, np.array([len(x) for x in raws])):
-                # rows before the first change go on with the minimiser at hand; those after the last may go on
-                change = np.flatnonzero(np.concatenate([[keys[a] != key], keys[a + 1 : b] != keys[a : b - 1]])) + a
-                cuts = [a, *change[[0, -1]].tolist(), b] if len(change) else [a, b]
-                for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if k:
-                        yield from shard.ranges()
-                        shard = _Shard((report_length, length))
-                    if p < q:
-                        shard.add(raws[p:q], r1[p:q], r2[p:q], lo[p:q], hi[p:q], single[p:q])
-                key = keys[b - 1]
+        for keys, raws, r1, r2, lo, hi, single in _whole_keys(batches):
+            # rows before the first change go on with the minimiser at hand; those after the last may go on
+            change = np.flatnonzero(np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]]))
+            cuts = [0, *change[[0, -1]].tolist(), len(keys)] if len(change) else [0, len(keys)]
+            for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if k:
+                    yield from shard.ranges()
+                    shard = _Shard((report_length, length))
+                if p < q:
+                    shard.add(raws[p:q], r1[p:q], r2[p:q], lo[p:q], hi[p:q], single[p:q])
+            key = keys[-1]
         yield from shard.ranges()
 
     return dealt.mapInArrow(run, _RANGES)
