@@ -25,7 +25,7 @@ def runtime_filters(spark: SparkSession):
     """
     at = "spark.sql.optimizer.runtime.bloomFilter."
     return settings(spark, {
-        f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "0", f"{at}creationSideThreshold": str(1 << 50),
+        "spark.sql.autoBroadcastJoinThreshold": "-1", f"{at}enabled": "true", f"{at}applicationSideScanSizeThreshold": "0", f"{at}creationSideThreshold": str(1 << 50),
         f"{at}numBits": str(FILTER_BITS), f"{at}expectedNumItems": str(FILTER_BITS >> 3),
     })
 

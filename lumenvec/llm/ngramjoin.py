@@ -12,8 +12,9 @@ then joins everything it holds to its least member: no pairs are formed.
 Heavy sets use inverted lists.  Lists of single shingles would be as long as
 the corpus is large, so a list's key is a block of shingles: with at most D
 differences allowed, D + 1 hash-dealt blocks leave one block equal.  A set is
-filed under its blocks, members of a list hang together in a candidate family,
-and within a family the exact overlaps are counted by scanning the inverted
+filed under its blocks, members of a list that a sketch does not tell apart hang
+together in a candidate family, and within a family the exact overlaps are
+counted by scanning the inverted
 lists of the rarest shingles that a linked set has to share.  Families beyond
 ``family_block`` sets are scanned as pairs of blocks, so no task holds more
 than two blocks; only the links of a spanning forest leave a task.  Before
@@ -21,6 +22,13 @@ that, each set is verified with the heads of its lists: sets that these links
 join already need not meet again, so a large group of near copies costs its
 heads and its stragglers, not all its pairs of blocks.
 
+A block may be one common shingle, so lists also hold sets that have little
+else in common, and through these families would grow with the corpus.  The
+sketch of a set has the parities of its shingles' counts in buckets.  Each
+difference of two sets flips one parity, so sketches that differ in more places
+than a link allows rule the link out: no link is lost.  Only lists whose head
+is told apart from a member are looked at again, pair by pair.
+
 The boundary is where enumerating costs more keys than list keys and their
 checks would.
 
@@ -52,6 +60,8 @@ THRESHOLD_PERCENT = 90
 FAMILY_BLOCK = 2000
 #: Cost of a list key against an enumerated one: lists have to be checked.
 LIST_COST = 8
+#: Members of a list that are told apart pair by pair; longer lists stay whole, which costs larger families but no link.
+LIST_MEMBERS = 4000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -147,6 +157,49 @@ def list_keys(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Size and bucket parities of a set; as many buckets as shingles at least, a power of two."""
+    buckets = max(64, 1 << (len(x) - 1).bit_length())
+    odd = np.bincount((mix(x ^ _C) % np.uint64(buckets)).astype(np.int64), minlength=buckets) & 1
+    return np.uint32(len(x)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and the parities as rows of 64-bit words; all folded to the fewest buckets among them."""
+    sizes = np.array([int.from_bytes(k[:4], "little") for k in sketches])
+    width = min(map(len, sketches)) // 8  # the 4 bytes of the size do not count
+    rows = np.empty((len(sketches), width), np.uint64)
+    for i, k in enumerate(sketches):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(k, np.uint64, offset=4).reshape(-1, width), axis=0)
+    return sizes, rows
+
+
+def may_link(s, a: np.ndarray, t, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes s and t may link by their sizes and parities; false rules it out."""
+    total = s + t
+    most = total + 2 * (-percent * total // (100 + percent))  # differences of a linked pair
+    return (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= most)
+
+
+def told_apart(sketches: list[bytes | None], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link; a missing sketch may link with all."""
+    if None in sketches:
+        wild = sketches.index(None)
+        return [(i, wild) for i in range(len(sketches)) if i != wild]
+    sizes, rows = unpacked(sketches)
+    rest, found = np.arange(len(sketches)), []
+    while len(rest) > 1:
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            i = reached.pop()
+            near = may_link(sizes[i], rows[i], sizes[rest], rows[rest], percent)
+            new = rest[near].tolist()
+            found += [(j, i) for j in new]
+            reached += new
+            rest = rest[~near]
+    return found
+
+
 def subset_keys(x: np.ndarray, percent: int) -> list[tuple[int, int, bool]]:
     """(key, size, same): the subsets that a pair with a light set would share.
 
@@ -167,14 +220,14 @@ def subset_keys(x: np.ndarray, percent: int) -> list[tuple[int, int, bool]]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """(id, n, d1, d2, light, heavy): size, digest and keys of each document's set."""
+    """(id, n, d1, d2, light, heavy, sketch): size, digest and keys of each document's set."""
     source = pick(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
     light = pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32()), ("same", pa.bool_())]))
 
     def run(batches):
         for batch in slices(batches):
-            rows = {"n": [], "d1": [], "d2": [], "light": [], "heavy": []}
+            rows = {"n": [], "d1": [], "d2": [], "light": [], "heavy": [], "sketch": []}
             for text in batch.column("text").to_pylist():
                 x = shingle_set(text, n)
                 s = len(x)
@@ -185,12 +238,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
                 enumerate_ = s and 100 * s // percent >= 1 and -(-percent * s // 100) < boundary(percent)
                 rows["light"].append([dict(zip(("key", "size", "same"), k, strict=True)) for k in subset_keys(x, percent)] if enumerate_ else None)
                 rows["heavy"].append(list_keys(x, percent).view(np.int64) if s >= boundary(percent) else None)
-            types = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "light": light, "heavy": pa.list_(pa.int64())}
+                rows["sketch"].append(sketch(x) if s >= boundary(percent) else None)
+            types = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "light": light, "heavy": pa.list_(pa.int64()), "sketch": pa.binary()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array(rows[k], t) for k, t in types.items())], ["id", *types]
             )
 
-    schema = f"id {kind}, n bigint, d1 bigint, d2 bigint, light array<struct<key:bigint,size:int,same:boolean>>, heavy array<bigint>"
+    schema = f"id {kind}, n bigint, d1 bigint, d2 bigint, light array<struct<key:bigint,size:int,same:boolean>>, heavy array<bigint>, sketch binary"
     return source.mapInArrow(run, schema)
 
 
@@ -253,6 +307,67 @@ def list_pairs(stars: DataFrame) -> DataFrame:
     return stars.where("b is not null").select("a", "b").unionByName(tied)
 
 
+def sketches_of(found: DataFrame) -> DataFrame:
+    """(id, sketch): of each id with a heavy set; null if its sets have several."""
+    low, high = F.min("sketch"), F.max("sketch")
+    return found.where("sketch is not null").groupBy("id").agg(F.when(low == high, low).alias("sketch"))
+
+
+def candidates(stars: DataFrame, sketches: DataFrame, percent: int, work: Scratch, list_members: int = LIST_MEMBERS) -> DataFrame:
+    """(a, b): pairs that tie all that may link; sets of one list that may not are left apart.
+
+    A head and a member that may link are a pair.  If all members of a list may
+    link with its head, that is all.  Of other lists of three sets and more the
+    members are told apart among each other, up to list_members of them; longer
+    lists stay whole.
+    """
+    kind = stars.schema["a"].dataType.simpleString()
+    of = lambda end: sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"sketch_{end}")).hint("merge")
+
+    def judge(batches):
+        for batch in slices(batches):
+            a, b = (batch.column(f"sketch_{k}").to_pylist() for k in "ab")
+            near = [bool(told_apart([x, y], percent)) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    edges = list_pairs(stars).where("a != b").distinct().join(of("a"), "a").join(of("b"), "b")
+    edges = work.store("edges", edges.mapInArrow(judge, f"a {kind}, b {kind}, near boolean"))
+    near = edges.where("near").select("a", "b")
+    # lists with a member that the head is told apart from, or that go on in other tasks
+    held = stars.where("b is not null").join(edges.hint("merge"), ["a", "b"]).select("key", "a", "b", "near")
+    ends = stars.where("b is null").select("key", "a").distinct()
+    rows = held.select("key", F.lit(1).alias("n"), F.col("near")).unionByName(ends.select("key", F.lit(1).alias("n"), F.lit(False).alias("near")))
+    lists = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("near").alias("near")).where("n > 1 and not near")
+    lists = work.store("open-lists", lists.select("key", (F.col("n") > list_members).alias("long")))
+    member = stars.select("key", "a").unionByName(stars.where("b is not null").select("key", F.col("b").alias("a")).distinct())
+    long = stars.join(lists.where("long").hint("merge"), "key", "left_semi")
+    dealt = member.join(lists.where("not long").hint("merge"), "key", "left_semi").distinct()
+    dealt = dealt.join(of("a"), "a").select("key", "a", "sketch_a").repartition("key").sortWithinPartitions("key", "a")
+
+    def split(batches):
+        key, ids, own, id_type = None, [], [], None
+
+        def pairs():
+            found = told_apart(own, percent)
+            a, b = ([ids[x[k]] for x in found] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], ["a", "b"])
+
+        for batch in slices(batches):
+            id_type = batch.schema.field("a").type
+            for at, a, k in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "sketch_a")), strict=True):
+                if at != key:
+                    if len(own) > 1:
+                        yield pairs()
+                    key, ids, own = at, [], []
+                ids.append(a)
+                own.append(k)
+        if len(own) > 1:
+            yield pairs()
+
+    apart = dealt.mapInArrow(split, f"a {kind}, b {kind}")
+    return near.unionByName(apart).unionByName(list_pairs(long)).where("a != b").distinct()
+
+
 class Forest:
     """Union-find over 0..n-1."""
 
@@ -322,9 +437,12 @@ def members(classes: DataFrame, families: DataFrame) -> DataFrame:
 
 def verified_links(docs: DataFrame, edges: DataFrame, n: int, percent: int, work: Scratch) -> DataFrame:
     """(a, b) of edges whose texts link; docs as (id, text), of an id with several texts any may."""
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ends.hint("merge"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
-    texts = work.store("edge-texts", texts)
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
+    ends = work.store("edge-ends", ends.groupBy("id").agg(F.count("*").alias("n")))
+    # the comparison, always true, is for a Bloom filter, as in heavy_links
+    texts = docs.join(ends.where("n > 0").drop("n").hint("merge"), "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).select("id", "text")
+    with runtime_filters(docs.sparkSession):
+        texts = work.store("edge-texts", texts)
     of = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")).hint("merge")
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -439,18 +557,21 @@ def similar_documents(
     stars = work.store("stars", list_stars(named))
     light = work.store("light", light_links(named))
     sizes = work.store("sizes", found.select("id", "n", "d1", "d2"))
+    sketches = work.store("sketches", sketches_of(named))
     work.drop("signatures")
-    families = work.store("families", components(list_pairs(stars)))
+    pairs = work.store("pairs", candidates(stars, sketches, percent, work))
+    work.drop("stars", "sketches", "edges", "open-lists")
+    families = work.store("families", components(pairs))
     member = work.store("members", members(classes, families))
     work.drop("families")
     source = pick(docs, id=id_col, text=text_col)
     big, clusters, verified = member.where(F.col("n") > family_block).select(F.col("id").alias("a")).distinct(), None, None
     if not big.isEmpty():
         # what the heads of lists prove spares large families most of their pairs
-        edges = list_pairs(stars).distinct().join(big.hint("merge"), "a")
+        edges = pairs.join(big.hint("merge"), "a")
         verified = work.store("verified", verified_links(source, edges, n, percent, work))
         clusters = work.store("clusters", components(verified).select("id", F.col("component").alias("cluster")))
-    work.drop("stars", "edge-texts")
+    work.drop("pairs", "edge-ends", "edge-texts")
     place = work.store("places", places(member, clusters, family_block))
     work.drop("members", "clusters")
     # copies of a class hang in its family; one of them stands for all

@@ -418,6 +418,44 @@ def test_hot_lists_are_tied_across_tasks(spark):
     assert got == {0}
 
 
+def chained(rng, n):
+    """Texts of 60 words that share half of them with the next one: none link at 80 %."""
+    parts = [words(rng, 30) for _ in range(n + 1)]
+    return [f"{a} {b}" for a, b in zip(parts, parts[1:], strict=False)]
+
+
+@pytest.mark.parametrize("list_members", [ngramjoin.LIST_MEMBERS, 2])
+def test_shared_blocks_alone_make_no_family(spark, monkeypatch, list_members):
+    rng = random.Random(23)
+    texts = chained(rng, 80)
+    hot = words(rng, 30)
+    for _ in range(15):  # one passage in lists with pairs that link, whose head links with none
+        w = f"{hot} {words(rng, 30)}".split()
+        texts += [" ".join(w), " ".join(w[:45] + ["changed"] + w[46:])]
+    rows, places, candidates = [], ngramjoin.places, ngramjoin.candidates
+    monkeypatch.setattr(ngramjoin, "candidates", lambda *a: candidates(*a, list_members=list_members))
+    monkeypatch.setattr(ngramjoin, "places", lambda member, *a: (rows.append(member.count()), places(member, *a))[1])
+    got = {r.doc_id: r.component_id for r in ngramjoin.similar_documents(docs(spark, texts), n=5, percent=80).collect()}
+    assert got == {i: i if i < 80 else i - i % 2 for i in range(110)}
+    assert 30 <= rows[0] < 40 or list_members == 2
+
+
+def test_sketches_keep_what_links():
+    rng = np.random.default_rng(24)
+    for percent in (80, 90):
+        kept = 0
+        for size in [15, 40, 63, 64, 65, 200, 1000, 1030, 5000] * 20:
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            out, extra = int(rng.integers(0, size // 4)), int(rng.integers(0, size // 4))
+            b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 63, extra, dtype=np.uint64)]))
+            o = len(np.intersect1d(a, b))
+            near = bool(ngramjoin.told_apart([ngramjoin.sketch(a), ngramjoin.sketch(b)], percent))
+            assert near or 100 * o < percent * (len(a) + len(b) - o)
+            other = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            kept += bool(ngramjoin.told_apart([ngramjoin.sketch(a), ngramjoin.sketch(other)], percent))
+        assert kept < 5
+
+
 def test_periodic_and_very_long_texts(spark):
     texts = ["a" * 300_000, "ab" * 60_000, "=-" * 50 + "\n", " ".join(f"w{i}" for i in range(120_000))]
     d = docs(spark, texts)
